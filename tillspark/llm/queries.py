@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
-from .common import table
+from . import byte_bpe, idfile, packing
+from .common import fresh_path, table
 
 
 def vocabulary(name: str) -> str:
@@ -22,8 +23,26 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, vocabulary("word_bpe_49k.json"), 2048))
 
 
+def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_huffman_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "id-files")
+    idfile.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return idfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing,)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_level_bpe, op6_huffman_id_files)}
 
 
 def oracle_sql() -> dict[str, str]:
