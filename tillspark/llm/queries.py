@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, idfile, packing
+from . import byte_bpe, exact, idfile, packing
 from .common import fresh_path, table
 
 
@@ -35,6 +35,22 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_cp, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+), k AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+  FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+"""
+
+
 def op6_huffman_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "id-files")
     idfile.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -42,8 +58,8 @@ def op6_huffman_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_level_bpe, op6_huffman_id_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_level_bpe, op5_exact_dedup, op6_huffman_id_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL}
