@@ -23,9 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a generation of one worker's chunk cache, about 200 bytes each.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 250_000
 #: Bytes of text that are encoded at once (one longer text still goes whole).
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 4_000_000
 #: Chunks longer than this are encoded but not kept.
 LONGEST_CACHED = 100
 
