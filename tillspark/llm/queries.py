@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact, idfile, near, packing
+from . import byte_bpe, exact, idfile, near, packing, quality
 from .common import fresh_path, table
 
 
@@ -57,6 +57,10 @@ def op6_huffman_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -81,7 +85,7 @@ SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = compon
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_level_bpe, op5_exact_dedup, op6_huffman_id_files, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_level_bpe, op5_exact_dedup, op6_huffman_id_files, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
