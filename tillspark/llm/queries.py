@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact, idfile, near, packing, quality
+from . import byte_bpe, exact, idfile, near, packing, quality, suffix
 from .common import fresh_path, table
 
 
@@ -23,6 +23,27 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, vocabulary("word_bpe_49k.json"), 2048))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 1)) AS i FROM d),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS later
+  FROM (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS g FROM p WHERE 2 * i + 200 <= len(h))),
+m AS (SELECT p.doc_id, p.i, substr(p.h, 2 * p.i + 1, 2) AS x,
+    coalesce(max(CASE WHEN later THEN p.i END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
+  FROM p LEFT JOIN w ON w.doc_id = p.doc_id AND w.i = p.i),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM m),
+r AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+    sha256(unhex(coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256 FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+"""
+
+
 def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,8 +106,8 @@ SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = compon
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_byte_level_bpe, op5_exact_dedup, op6_huffman_id_files, op9_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_byte_level_bpe, op5_exact_dedup, op6_huffman_id_files, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op10_minhash_near_dedup": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_minhash_near_dedup": OP10_SQL}
