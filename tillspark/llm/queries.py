@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact, idfile, licenses, near, packing, quality, suffix
+from . import byte_bpe, exact, fm, idfile, langid, licenses, near, packing, quality, suffix
 from .common import fresh_path, table
 
 
@@ -56,6 +56,10 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,10 @@ def op6_huffman_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -110,7 +118,7 @@ SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = compon
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_byte_level_bpe, op5_exact_dedup, op6_huffman_id_files, op8_license_scan, op9_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_byte_level_bpe, op4_quality_classifier, op5_exact_dedup, op6_huffman_id_files, op7_language_id, op8_license_scan, op9_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
