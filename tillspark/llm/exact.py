@@ -37,7 +37,8 @@ def digest(text: Column, bits: int = 256) -> Column:
 def arrivals(docs: DataFrame, path: str, bits: int = 256) -> DataFrame:
     """The landing table, written to ``path``: digest, doc_id, n_cp (code points of the text) and row (the content locator)."""
     text = F.coalesce("text", F.lit(""))
-    return staged(docs.select(digest(F.col("text"), bits).alias("digest"), "doc_id", F.length(text).cast("long").alias("n_cp"), F.monotonically_increasing_id().alias("row")), "arrivals", path)
+    whole = [digest(F.col("text")).alias("text_sha256")] if bits < 256 else []
+    return staged(docs.select(digest(F.col("text"), bits).alias("digest"), *whole, "doc_id", F.length(text).cast("long").alias("n_cp"), F.monotonically_increasing_id().alias("row")), "arrivals", path)
 
 
 def exact_groups(landing: DataFrame, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -88,12 +89,12 @@ def exact_dedup(docs: DataFrame, bits: int = 256) -> DataFrame:
     unequal = texts.groupBy("digest").agg(F.min(whole).alias("a"), F.max(whole).alias("b")).where("a != b").select("digest")
     unequal = staged(unequal, "unequal")
     decided = landing.join(groups, "digest").select(
-        "digest", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256")
+        "digest", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest" if bits == 256 else "text_sha256").alias("text_sha256")
     )
     if bits == 256 and unequal.isEmpty():
         return decided.drop("digest")
     # digests that are no SHA-256, or met by different texts
-    odd = texts.join(unequal, "digest").withColumns({"text": whole, "n_cp": F.length("text")})
+    odd = texts.join(unequal, "digest").withColumns({"text": whole, "n_cp": F.length(F.coalesce("text", F.lit("")))})
     own = odd.groupBy("digest", "text").agg(F.max(F.struct("n_cp", (-F.col("doc_id")).alias("id"))).alias("best"), F.count("*").alias("group_size"))
     sha = F.sha2("text", 256).alias("text_sha256")
     regrouped = odd.drop("n_cp").join(own, ["digest", "text"]).select("doc_id", (-F.col("best.id")).alias("keep_id"), "group_size", (F.col("doc_id") == -F.col("best.id")).alias("kept"), sha)
