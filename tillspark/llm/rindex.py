@@ -11,47 +11,74 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffixes of ``text`` (uint8) in order of their first ``depth`` bytes at least, and the ranks by their
-    first 8, 16, 32, 64 bytes, as far as they were needed (equal ranks: equal bytes)."""
+#: Bytes of the first sort's keys; the rest of a key tells zero bytes apart.
+HEAD = 6
+
+
+def suffix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, tuple[int, np.ndarray]]:
+    """The suffixes of ``text`` (uint8) in order, and ranks for ``equal_prefixes`` of ``length`` bytes.
+
+    The text ends with a zero byte.  Zero bytes end strings: of two of them the one further left is the
+    smaller, so that every two suffixes differ no later than at their first zero.  At most 65535 zeros.
+    """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    zeros = np.cumsum(text == 0)
+    padded = np.concatenate([text, np.zeros(HEAD, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + n]
-    ranks: dict[int, np.ndarray] = {}
-    length = 8
+    alive = np.ones(n, bool)
+    for k in range(HEAD):
+        key = key << np.uint64(8) | np.where(alive, padded[k : k + n], 0).astype(np.uint64)
+        alive &= padded[k : k + n] != 0
+    # the number of the first zero, where it is within the key
+    key = key << np.uint64(16) | np.where(alive, 0, zeros + (text != 0)).astype(np.uint64)
+    order = np.argsort(key)
+    fresh = np.concatenate([[True], np.diff(key[order]) != 0])[:n]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    done, kept = HEAD, (HEAD, rank)
     while True:
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[False], np.diff(key[order]) != 0]) if n else np.zeros(0, bool)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        ranks[length] = rank
-        if length >= depth or not n or rank[order[-1]] == n - 1:
-            return order, ranks
-        behind = np.zeros(n, np.int64)
-        behind[: max(n - length, 0)] = rank[length:] + 1
-        key = (rank.astype(np.uint64) << np.uint64(32)) | behind.astype(np.uint64)
-        length *= 2
-
-
-def equal_prefixes(order: np.ndarray, ranks: dict[int, np.ndarray], length: int) -> np.ndarray:
-    """Whether each suffix of ``order`` has the first ``length`` bytes of the one before it."""
-    have = max((x for x in ranks if x <= length), default=0)
-    if have * 2 < length:  # all suffixes differ within fewer bytes
-        return np.zeros(len(order), bool)
-    rank = ranks[have]
-    tail = np.concatenate([rank + 1, np.zeros(length, np.int64)])[length - have :][: len(rank)]
+        if done <= length < 2 * done:
+            kept = (done, rank.copy())
+        # what shares its rank with a neighbour is sorted by the rank behind; the rest has its place
+        tied = np.flatnonzero(~fresh | np.concatenate([~fresh[1:], [False]])[:n])
+        if not len(tied):
+            return order, kept
+        part = order[tied]
+        key = rank[part].astype(np.uint64) << np.uint64(32) | rank[np.minimum(part + done, n - 1)].astype(np.uint64)
+        sort = np.argsort(key)
+        part, key = part[sort], key[sort]
+        fresh[tied] = np.concatenate([[True], np.diff(key) != 0])
+        order[tied] = part
+        rank[part] = np.maximum.accumulate(np.where(fresh[tied], tied, 0))
+        done *= 2
+
+
+def equal_prefixes(order: np.ndarray, kept: tuple[int, np.ndarray], length: int) -> np.ndarray:
+    """Whether each suffix of ``order`` has the first ``length`` bytes, none zero, of the one before it."""
+    done, rank = kept
     same = np.zeros(len(order), bool)
+    if done * 2 <= length:  # all suffixes differ within fewer bytes
+        return same
+    tail = np.concatenate([rank + 1, np.zeros(length, np.int64)])[length - done :][: len(rank)]
     a, b = order[1:], order[:-1]
     same[1:] = (rank[a] == rank[b]) & (tail[a] == tail[b])
     return same
 
 
+def eight_bytes(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of the last axis on, as one number; zeros behind the end."""
+    size = x.shape[-1]
+    padded = np.concatenate([x, np.zeros((*x.shape[:-1], 7), np.uint8)], axis=-1)
+    out = np.zeros(x.shape, np.uint64)
+    for k in range(8):
+        out = out << np.uint64(8) | padded[..., k : k + size].astype(np.uint64)
+    return out
+
+
 class RunIndex:
     def __init__(self, text: np.ndarray, order: np.ndarray) -> None:
-        self.text = text
         n = len(text)
+        self.words = eight_bytes(np.concatenate([text, [0]]).astype(np.uint8))
         shown = text[order - 1]
         first = np.flatnonzero(np.concatenate([[True], shown[1:] != shown[:-1]])) if n else np.zeros(0, np.int64)
         self.n, self.start, self.byte = n, first, shown[first]
@@ -70,23 +97,27 @@ class RunIndex:
         self.present = counts > 0
         assert (below[self.byte[by_byte]] <= before).all()
 
-    def _common(self, at: np.ndarray, patterns: np.ndarray, row: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Bytes that the text from ``at`` shares with ``patterns[row]`` from ``place``, up to ``most``."""
+    def _common(self, at: np.ndarray, words: np.ndarray, row: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bytes that the text from ``at`` shares with pattern ``row`` (8-byte ``words``) from ``place``, up to
+        ``most``."""
         out = np.zeros(len(at), np.int64)
-        live = np.arange(len(at))
+        live = np.flatnonzero(most > 0)
         while len(live):
-            i, j = at[live] + out[live], place[live] + out[live]
-            ok = (out[live] < most[live]) & (i < self.n)
-            live, i, j = live[ok], i[ok], j[ok]
-            ok = self.text[i] == patterns[row[live], j]
-            live = live[ok]
-            out[live] += 1
-        return out
+            i, j = np.minimum(at[live] + out[live], self.n), place[live] + out[live]
+            differ = self.words[i] ^ words[row[live], j]
+            equal = differ == 0
+            some = live[~equal]
+            out[some] += (differ[~equal].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+            live = live[equal]
+            out[live] += 8
+            live = live[out[live] < most[live]]
+        return np.minimum(out, most)
 
     def statistics(self, patterns: np.ndarray, lengths: np.ndarray):
         """Yields (place, rows, lengths of the longest matches) for the places of ``patterns`` from right to
         left; patterns end at the right edge of the array, so that a shorter one begins further right."""
         m, width = patterns.shape
+        words = eight_bytes(patterns)
         row = np.zeros(m, np.int64)
         size = np.zeros(m, np.int64)
         for place in range(width - 1, -1, -1):
@@ -106,8 +137,8 @@ class RunIndex:
                 after = np.searchsorted(runs, run[k])
                 above, under = runs[np.maximum(after - 1, 0)], runs[np.minimum(after, len(runs) - 1)]
                 pattern, here, most = live[k], np.full(len(k), place + 1), size[live[k]]
-                up = np.where(after > 0, self._common(self.tail[above], patterns, pattern, here, most), -1)
-                down = np.where(after < len(runs), self._common(self.head[under], patterns, pattern, here, most), -1)
+                up = np.where(after > 0, self._common(self.tail[above], words, pattern, here, most), -1)
+                down = np.where(after < len(runs), self._common(self.head[under], words, pattern, here, most), -1)
                 best = up >= down
                 chosen = np.where(best, above, under)
                 lead[k] = self.leads[chosen] + np.where(best, self.stop[chosen] - self.start[chosen], 0)

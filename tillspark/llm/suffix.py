@@ -3,11 +3,11 @@
 A byte goes if it is covered by a ``length``-byte string that also starts earlier: in a document with a
 smaller id, or further left in its own.  Matches stay within documents; all is judged on the input.
 
-1. Anchors.  Any two equal ``length``-byte strings hold the same local minimum among the hashes of their
-   ``GRAM``-byte substrings, so they meet at that anchor.  An anchor's context reaches as far as such
-   strings can: ``length - GRAM`` bytes to the left, ``length`` to the right.
+1. Anchors.  Every ``length``-byte string belongs to the leftmost minimum among the hashes of its
+   ``GRAM``-byte substrings, so equal strings meet at equal anchors.  The strings of one anchor follow each
+   other; together they are its context.
 2. Contexts meet by the anchor's hash.  Of equal contexts all but the first are repeats throughout (those
-   within a task's batch never leave it).  Anchors with several different contexts go on, one
+   within a task's slice never meet others).  Anchors with several different contexts go on, one
    representative of each context.
 3. Representatives of an anchor are indexed together (see ``rindex``): the task streams their contexts
    through the index, and marks strings whose match of ``length`` bytes lies in an interval of the
@@ -39,7 +39,7 @@ from .tokens import slices
 #: Bytes of the substrings whose hashes make anchors.
 GRAM = 24
 #: Bytes of contexts that a task indexes at once.
-INDEX_BYTES = 6_000_000
+INDEX_BYTES = 1_000_000
 #: Contexts of one anchor that are indexed together.
 GROUP_CONTEXTS = 20_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -55,33 +55,32 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Document number, place, first and last byte of context, and two hashes of every anchor in texts."""
+    """Document number, first and last byte of the context, and the hashes of anchor and context, of every
+    anchor in texts."""
     n, window = len(data), length - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     sums = prefix_sums(data)
     grams = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n)[0][: n - GRAM + 1])
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(grams)]
-    inside = np.arange(GRAM, n + 1) <= offsets[1:][doc]
-    grams[~inside] = _MAX
     least = _sliding(grams, window, np.minimum)
-    # a gram is the minimum of some window around it if the largest of those minima is its own
-    pad = np.zeros(window - 1, np.uint64)
-    top = _sliding(np.concatenate([pad, least, pad]), window, np.maximum)
-    at = np.flatnonzero((grams == top) & inside)
-    doc = doc[at]
-    first = np.maximum(at - (length - GRAM), offsets[doc])
-    last = np.minimum(at + length, offsets[doc + 1])
-    ok = last - first >= length
-    at, doc, first, last = at[ok], doc[ok], first[ok], last[ok]
-    context = mix(span_hash(sums, first, last) + (at - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return doc, at - offsets[doc], first - offsets[doc], last - offsets[doc], grams[at], context
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = doc[: len(least)] == doc[length - 1 :]
+    # an anchor's strings end where the minimum changes, or leaves on the left, or the document ends
+    new = np.ones(len(least), bool)
+    new[1:] = (least[1:] != least[:-1]) | (grams[: len(least) - 1] == least[:-1]) | ~inside[:-1]
+    new &= inside
+    first = np.flatnonzero(new)
+    stop = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
+    last = stop + length
+    own = doc[first]
+    return own, first - offsets[own], last - offsets[own], least[first], span_hash(sums, first, last)
 
 
-ROWS = ["hash", "context", "doc_id", "place", "first", "last", "repeat"]
-ROWS_DDL = "hash long, context long, doc_id long, place long, first long, last long, repeat boolean"
-FOUND_DDL = "hash long, doc_id long, place long, first long, last long, marked boolean"
+ROWS = ["hash", "context", "doc_id", "first", "last", "repeat"]
+ROWS_DDL = "hash long, context long, doc_id long, first long, last long, repeat boolean"
+FOUND = ["hash", "doc_id", "first", "last", "marked"]
+FOUND_DDL = "hash long, doc_id long, first long, last long, marked boolean"
 
 
 def _anchor_rows(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,17 +89,17 @@ def _anchor_rows(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         for part in slices(batch.column(1), 2_000_000):
             ids = batch.column(0).slice(base, len(part)).to_numpy(zero_copy_only=False)
             base += len(part)
-            doc, place, first, last, gram, context = anchors(*flat(part), length)
+            doc, first, last, gram, context = anchors(*flat(part), length)
             doc_id = ids[doc].astype(np.int64)
-            order = np.lexsort((place, doc_id, context, gram))
+            order = np.lexsort((first, doc_id, context, gram))
             g, c = gram[order], context[order]
             # all but the first of equal contexts in this slice are repeats, unless they are the same place
             fresh = np.concatenate([[True], (np.diff(g) != 0) | (np.diff(c) != 0)])[: len(order)]
             lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
-            again = (doc_id[order] != doc_id[lead]) | (place[order] != place[lead])
+            again = (doc_id[order] != doc_id[lead]) | (first[order] != first[lead])
             keep = fresh | again
             o = order[keep]
-            columns = [gram[o].view(np.int64), context[o].view(np.int64), doc_id[o], place[o], first[o], last[o], ~fresh[keep]]
+            columns = [gram[o].view(np.int64), context[o].view(np.int64), doc_id[o], first[o], last[o], ~fresh[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ROWS)
 
 
@@ -110,17 +109,16 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = False  # whether the held representative has gone out
 
     def batch_of(rows: list[np.ndarray], marked: bool) -> pa.RecordBatch:
-        n = len(rows[0])
-        columns = [rows[0], *rows[2:6], np.full(n, marked)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["hash", "doc_id", "place", "first", "last", "marked"])
+        columns = [rows[0], *rows[2:5], np.full(len(rows[0]), marked)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], FOUND)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-        repeat = rows[6].astype(bool)
-        yield batch_of([x[repeat] for x in rows[:6]], True)
-        rows = [x[~repeat] for x in rows[:6]]
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        repeat = rows[5].astype(bool)
+        yield batch_of([x[repeat] for x in rows[:5]], True)
+        rows = [x[~repeat] for x in rows[:5]]
         if held is not None:
             rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
         n = len(rows[0])
@@ -139,11 +137,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = several.copy()
         if held is not None and out:
             send[0] = False
-        # the last one is held: the next batch may bring its anchor's next context
-        tail = reps[-1]
         yield batch_of([x[reps[send]] for x in rows], False)
+        # the last one is held: the next batch may bring its anchor's next context
         out = bool(several[-1])
-        held = [x[tail : tail + 1] for x in rows]
+        held = [x[reps[-1] : reps[-1] + 1] for x in rows]
 
 
 def _index_marks(texts: list[bytes], locations: np.ndarray, length: int) -> list[np.ndarray]:
@@ -159,7 +156,7 @@ def _index_marks(texts: list[bytes], locations: np.ndarray, length: int) -> list
     text[ends] = 0
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     inner = np.arange(len(text)) - (ends - sizes)[owner]
-    order, ranks = suffix_order(text, 4 * (int(sizes.max()) + 1))
+    order, ranks = suffix_order(text, length)
     head = ~equal_prefixes(order, ranks, length)
     location = locations[owner] + inner
     whole = inner + length <= sizes[owner]
@@ -217,10 +214,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            out += [(w["hash"], doc_id, w["place"], w["first"], raw[w["first"] : w["last"]]) for w in wanted]
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["hash", "doc_id", "place", "first", "bytes"])
+            out += [(w["hash"], doc_id, w["first"], raw[w["first"] : w["last"]]) for w in wanted]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["hash", "doc_id", "first", "bytes"])
 
 
 def repeats(docs: DataFrame, length: int = 100, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
@@ -228,20 +225,20 @@ def repeats(docs: DataFrame, length: int = 100, group_contexts: int = GROUP_CONT
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = docs.mapInArrow(partial(_anchor_rows, length), ROWS_DDL)
-    order = ["hash", "context", "doc_id", "place"]
+    order = ["hash", "context", "doc_id", "first"]
     found = staged(rows.repartition(n, "hash").sortWithinPartitions(*order).mapInArrow(_resolve, FOUND_DDL), "found")
     reps = found.where("NOT marked").drop("marked")
     ids = staged(reps.select("doc_id").distinct(), "ids")
-    wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "place", "first", "last")).alias("wanted"))
-    contexts = staged(by_id(docs, ids).join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contexts, "hash long, doc_id long, place long, first long, bytes binary"), "contexts")
+    wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "first", "last")).alias("wanted"))
+    contexts = staged(by_id(docs, ids).join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contexts, "hash long, doc_id long, first long, bytes binary"), "contexts")
     hot = staged(reps.groupBy("hash").count().where(F.col("count") > group_contexts).select("hash"), "hot")
     grouped = contexts.join(hot, "hash", "left_anti").select("hash", "doc_id", "first", "bytes").repartition(n, "hash").sortWithinPartitions("hash", "doc_id", "first")
     spans = found.where("marked").select("doc_id", "first", "last").unionByName(grouped.mapInArrow(partial(_mark_groups, length), "doc_id long, first long, last long"))
     if not hot.isEmpty():
         starts = F.explode(F.sequence(F.lit(0), F.length("bytes") - length))
-        strings = contexts.join(hot, "hash", "left_semi").select("hash", "place", "doc_id", "first", "bytes", starts.alias("k"))
-        strings = strings.select("hash", "doc_id", (F.col("first") + F.col("k")).alias("at"), (F.col("place") - F.col("first") - F.col("k")).alias("shift"), F.sha2(F.expr(f"substring(bytes, k + 1, {length})"), 256).alias("string"))
-        same = ["hash", "shift", "string"]
+        strings = contexts.join(hot, "hash", "left_semi").select("hash", "doc_id", "first", "bytes", starts.alias("k"))
+        strings = strings.select("hash", "doc_id", (F.col("first") + F.col("k")).alias("at"), F.sha2(F.expr(f"substring(bytes, k + 1, {length})"), 256).alias("string"))
+        same = ["hash", "string"]
         least = strings.groupBy(same).agg(F.min(F.struct("doc_id", "at")).alias("least"))
         later = strings.join(least, same).where(F.struct("doc_id", "at") > F.col("least"))
         spans = spans.unionByName(later.select("doc_id", F.col("at").alias("first"), (F.col("at") + length).alias("last")))
