@@ -226,7 +226,9 @@ def repeats(docs: DataFrame, length: int = 100, group_contexts: int = GROUP_CONT
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = docs.mapInArrow(partial(_anchor_rows, length), ROWS_DDL)
     order = ["hash", "context", "doc_id", "first"]
-    found = staged(rows.repartition(n, "hash").sortWithinPartitions(*order).mapInArrow(_resolve, FOUND_DDL), "found")
+    # what is known to be a repeat needn't meet anything: it is dealt out evenly
+    place = F.when(F.col("repeat"), F.xxhash64("doc_id", "first")).otherwise(F.col("hash"))
+    found = staged(rows.repartition(n, place).sortWithinPartitions(*order).mapInArrow(_resolve, FOUND_DDL), "found")
     reps = found.where("NOT marked").drop("marked")
     ids = staged(reps.select("doc_id").distinct(), "ids")
     wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "first", "last")).alias("wanted"))
