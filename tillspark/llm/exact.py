@@ -22,7 +22,11 @@ from .common import fresh_path, staged
 BLANKS = " \t\n\x0b\x0c\r"
 #: Up to so many digests (32 bytes each) are broadcast to find the rows that are checked; more are joined.
 BROADCAST_DIGESTS = 500_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without fallocate, which would reserve megabytes for each of many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -56,14 +60,15 @@ def exact_groups(landing: DataFrame, path: str, files_per_batch: int = 1000) ->
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", fresh_path(spark, "stream")).foreachBatch(keep).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = "digest string, best struct<n_cp: long, id: long, row: long>, group_size long, batch int"
     try:
         found = spark.read.schema(schema).parquet(out)
