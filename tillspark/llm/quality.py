@@ -32,6 +32,13 @@ FLOORS = (0.05**2, 0.05**2, 0.05**2, 0.1**2, 0.25**2)
 #: Median and cut of a chi-square with five degrees; the cut is passed once in 10**12 normal cases.
 CHI_MEDIAN, CUT = 4.3515, 64.0
 FEATURES = 5
+#: Up to so many cells (some 200 bytes each) are broadcast to their documents; more are joined by a shuffle.
+BROADCAST_CELLS = 10_000
+
+
+def _small(side: DataFrame) -> DataFrame:
+    """``side``, a table read from files, marked for broadcast if it has few rows: cells are uneven."""
+    return F.broadcast(side) if side.count() <= BROADCAST_CELLS else side
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -85,12 +92,12 @@ def transformed() -> list[Column]:
 def _cells(rows: DataFrame) -> DataFrame:
     """``rows`` with the cell in which each is estimated."""
     lang, source = (F.coalesce(c, F.lit("")) for c in ("lang", "source"))
-    counts = rows.groupBy(lang.alias("_l"), source.alias("_s")).count()
+    counts = staged(rows.groupBy(lang.alias("_l"), source.alias("_s")).count(), "counts")
     few = F.col("count") < LEAST_CELL
     by_lang = counts.where(few).groupBy("_l").agg(F.sum("count").alias("_n"))
     counts = counts.join(by_lang, "_l", "left")
     cell = F.when(~few, F.concat_ws("\x1f", "_l", "_s")).when(F.col("_n") >= LEAST_CELL, F.col("_l")).otherwise("\x1e")
-    cells = counts.select("_l", "_s", cell.alias("cell"))
+    cells = _small(staged(counts.select("_l", "_s", cell.alias("cell")), "cells"))
     return rows.withColumns({"_l": lang, "_s": source}).join(cells, ["_l", "_s"]).drop("_l", "_s")
 
 
@@ -101,7 +108,7 @@ def _x(i: int) -> str:
 def _distances(rows: DataFrame, shape: DataFrame) -> DataFrame:
     """``rows`` with d2, the squared distance under their cell's centre (m) and inverse factor (v)."""
     parts = [sum((F.col(f"v{i}{j}") * (F.col(_x(j)) - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(FEATURES)]
-    joined = rows.join(shape, "cell")
+    joined = rows.join(_small(shape), "cell")
     return joined.select(*rows.columns, sum((p * p for p in parts), F.lit(0.0)).alias("d2"))
 
 
@@ -126,7 +133,8 @@ def _start(rows: DataFrame) -> DataFrame:
     """Medians and inverse median deviations as a first shape."""
     n = range(FEATURES)
     medians = rows.groupBy("cell").agg(*(F.percentile_approx(_x(i), 0.5).alias(f"m{i}") for i in n))
-    off = rows.join(medians, "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(_x(i)) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i in n))
+    medians = staged(medians, "medians")
+    off = rows.join(_small(medians), "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(_x(i)) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i in n))
     scale = {f"v{i}{j}": 1 / F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i]) if i == j else F.lit(0.0) for i in n for j in range(i + 1)}
     return medians.join(off.withColumns(scale), "cell").drop(*(f"s{i}" for i in n))
 
@@ -139,12 +147,12 @@ def outliers(stats: DataFrame) -> DataFrame:
     shape = staged(_start(rows), "shape")
     for _ in range(STEPS):
         near = _distances(rows, shape)
-        edge = near.groupBy("cell").agg(F.percentile_approx("d2", SUPPORT).alias("_edge"))
-        shape = staged(_shape(near.join(edge, "cell").where("d2 <= _edge")), "shape")
+        edge = staged(near.groupBy("cell").agg(F.percentile_approx("d2", SUPPORT).alias("_edge")), "edge")
+        shape = staged(_shape(near.join(_small(edge), "cell").where("d2 <= _edge")), "shape")
     near = _distances(rows, shape)
-    middle = near.groupBy("cell").agg(F.percentile_approx("d2", 0.5).alias("_median"))
+    middle = staged(near.groupBy("cell").agg(F.percentile_approx("d2", 0.5).alias("_median")), "middle")
     scaled = F.col("d2") * CHI_MEDIAN / F.greatest("_median", F.lit(1e-9))
-    judged = near.join(middle, "cell").select(*own, scaled.alias("distance2"))
+    judged = near.join(_small(middle), "cell").select(*own, scaled.alias("distance2"))
     return judged.unionByName(stats.where(base_failed()).withColumn("distance2", F.lit(None).cast("double")))
 
 
