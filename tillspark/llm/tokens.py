@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,6 +61,8 @@ _TO_CHARS = str.maketrans(dict(enumerate(byte_chars())))
 
 def as_chars(text: str) -> str:
     """``text`` with each of its UTF-8 bytes as the character of byte-level vocabularies."""
+    if text.isascii() and text.isprintable():
+        return text.replace(" ", _TO_CHARS[32])
     return text.encode().decode("latin-1").translate(_TO_CHARS)
 
 
@@ -75,6 +78,11 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         at = to
 
 
+def packed(ids: list[int]) -> bytes:
+    """``ids`` as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class IdEncoder:
     """Ids of whole texts under a ``tokenizers`` tokenizer.
 
@@ -86,6 +94,8 @@ class IdEncoder:
         self.tokenizer, self.byte_level = tokenizer, byte_level
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: The ids of words and punctuation marks alone.
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part in slices(texts):
@@ -150,19 +160,25 @@ class IdEncoder:
         return found
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        merge = self.tokenizer.model.tokenize
-        known: dict[str, list[int]] = {"": []}
-        out: list[list[int] | None] = [None] * len(chunks)
+        merge, known = self.tokenizer.model.tokenize, self.parts
+        if len(known) > CACHE_CHUNKS:
+            known.clear()
+        out: list[bytes | None] = [None] * len(chunks)
+        odd = []
         for i, chunk in enumerate(chunks):
-            if m := _PLAIN.fullmatch(chunk):
-                space, word, marks = m.groups()
-                word = space + word if self.byte_level else word.lower()
-                for x in (word, marks):
-                    if x not in known:
-                        known[x] = [t.id for t in merge(as_chars(x))]
-                out[i] = known[word] + known[marks]
-        odd = [i for i, v in enumerate(out) if v is None]
+            if not (m := _PLAIN.fullmatch(chunk)):
+                odd.append(i)
+                continue
+            space, word, marks = m.groups()
+            word = space + word if self.byte_level else word.lower()
+            if (value := known.get(word)) is None:
+                value = known[word] = packed([t.id for t in merge(as_chars(word))])
+            if marks:
+                if (more := known.get(marks)) is None:
+                    more = known[marks] = packed([t.id for t in merge(as_chars(marks))])
+                value += more
+            out[i] = value
         rest = self.tokenizer.encode_batch_fast([chunks[i] for i in odd], add_special_tokens=False)
         for i, e in zip(odd, rest, strict=True):
-            out[i] = e.ids
-        return [np.array(v, "<u4").tobytes() for v in out]
+            out[i] = packed(e.ids)
+        return out
