@@ -111,6 +111,15 @@ def test_near_duplicates_in_dense_groups(spark, limit):
     assert found == expected
 
 
+def test_star_of_copies_in_a_large_cluster(spark):
+    """Copies that are linked through their base alone, more than its candidates."""
+    base = prose(7, 150)
+    texts = [base, *(edited(k, base, 4) for k in range(260))]
+    expected = brute_near(dict(enumerate(texts)))
+    assert sum(root == 0 for _, root, _ in expected.values()) > 193
+    assert near_of(frame(spark, texts), cluster_shingles=2000) == expected
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=12), min_size=2, max_size=14))
 def test_cluster_finds_every_link(sets):

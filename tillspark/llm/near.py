@@ -8,9 +8,9 @@
    candidates: small regions are compared whole, and dense ones at the depth that tells their texts apart.
    A pair at similarity 0.75 meets in some region but for 2 in a million cases.
 3. Candidates whose signatures agree in ``LEAST_AGREEMENT`` of all places join into clusters.
-4. A cluster is confirmed on full sets.  In one of at most ``CLUSTER_SHINGLES`` shingles every pair of
-   different components is decided (see ``cluster_components``), so that no link inside it is lost; of
-   larger ones the candidate pairs are joined with their sets.
+4. A cluster is confirmed on full sets: every pair of different components is decided, so that no link
+   inside it is lost.  One of at most ``CLUSTER_SHINGLES`` shingles is confirmed by one task (see
+   ``Cluster.components``), larger ones in blocks by many (see ``large_components``).
 
 Cases: a null text, and one without words, has an empty set and is linked with nothing; rows that repeat an
 id count once; null ids are ignored; an empty table gives an empty result; other columns are ignored.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -37,6 +37,9 @@ NEIGHBOURS = 4
 LEAST_AGREEMENT = 0.5
 #: Shingles of a cluster that one task confirms (8 bytes each).
 CLUSTER_SHINGLES = 4_000_000
+#: Sets of a large cluster that are compared with all in one round, and counters by which they are chosen
+#: (8 bytes each, for every large cluster, at the driver and executors).
+CENTRAL, COUNTERS = 8, 4096
 #: Similarity of a link, in hundredths.
 LINK = 75
 #: Up to so many ids are broadcast to find their texts; more are joined.
@@ -129,10 +132,22 @@ def candidates(reps: DataFrame) -> DataFrame:
 class Cluster:
     """Components of a cluster's sets under ``100 * intersection >= LINK * union``."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    def __init__(self, sets: list[np.ndarray], root: np.ndarray | None = None) -> None:
         self.sets = sets
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.root = np.arange(len(sets))
+        self.root = np.arange(len(sets)) if root is None else root
+
+    def index(self) -> None:
+        flat = np.concatenate(self.sets)
+        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        fresh = np.concatenate([[True], np.diff(flat[order]) > 0])
+        code = np.empty(len(flat), np.int64)
+        code[order] = np.cumsum(fresh) - 1
+        self.posting = owner[order]
+        self.first = np.flatnonzero(fresh)
+        self.last = np.concatenate([self.first[1:], [len(flat)]])
+        self.codes = np.split(code, np.cumsum(self.sizes)[:-1])
 
     def linked(self, i: int) -> np.ndarray:
         """Every set that is linked with set ``i``, from the inverted index."""
@@ -142,9 +157,13 @@ class Cluster:
         both = np.bincount(self.posting[places], minlength=len(self.sets))
         return np.flatnonzero(100 * both >= LINK * (self.sizes[i] + self.sizes - both))
 
-    def _join(self, i: int) -> None:
-        labels = np.unique(self.root[self.linked(i)])
+    def join(self, i: int) -> np.ndarray:
+        """Joins the components that set ``i`` is linked with; a linked set of each but its own."""
+        found = self.linked(i)
+        labels, at = np.unique(self.root[found], return_index=True)
+        others = found[at[labels != self.root[i]]]
         self.root[np.isin(self.root, labels)] = labels[0]
+        return others
 
     def components(self) -> np.ndarray:
         """A component number per set.
@@ -156,27 +175,18 @@ class Cluster:
         if n == 2:
             both = len(np.intersect1d(*self.sets, assume_unique=True))
             return np.zeros(2, int) if 100 * both >= LINK * (self.sizes.sum() - both) else np.arange(2)
-        flat = np.concatenate(self.sets)
-        owner = np.repeat(np.arange(n), self.sizes)
-        order = np.argsort(flat, kind="stable")
-        fresh = np.concatenate([[True], np.diff(flat[order]) > 0])
-        code = np.empty(len(flat), np.int64)
-        code[order] = np.cumsum(fresh) - 1
-        self.posting = owner[order]
-        self.first = np.flatnonzero(fresh)
-        self.last = np.concatenate([self.first[1:], [len(flat)]])
-        self.codes = np.split(code, np.cumsum(self.sizes)[:-1])
+        self.index()
         common = np.array([(self.last[c] - self.first[c]).mean() for c in self.codes])
         seen = np.zeros(n, bool)
         for i in np.argsort(-common, kind="stable")[:8]:
-            self._join(i)
+            self.join(i)
             seen[i] = True
         while True:
             counts = np.bincount(self.root, minlength=n)
             outside = np.flatnonzero((self.root != counts.argmax()) & ~seen)
             if not len(outside):
                 return self.root
-            self._join(outside[0])
+            self.join(outside[0])
             seen[outside[0]] = True
 
 
@@ -215,6 +225,89 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(part)
 
 
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the probes in each block with its sets, from rows (cluster, i, j, probe, doc_id, root,
+    shingles) that come in order of blocks.  Of links that join the same components one is given."""
+    block: tuple | None = None
+    rows: list[tuple] = []
+
+    def close() -> pa.RecordBatch:
+        probe, docs, roots, sets = zip(*rows, strict=True)
+        rows.clear()
+        cluster = Cluster(list(sets), np.unique(np.array(roots, np.int64), return_inverse=True)[1])
+        cluster.index()
+        links = [(docs[k], docs[other]) for k in np.flatnonzero(probe) for other in cluster.join(k)]
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for c, i, j, p, d, r, s in zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6), strict=True):
+            if (c, i, j) != block and rows:
+                yield close()
+            block = (c, i, j)
+            rows.append((p, d, r, np.frombuffer(s.as_buffer(), np.uint64).copy()))
+    if rows:
+        yield close()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cluster, counter and n: the shingles of each cluster's sets by their hashes' low bits."""
+    counters: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for c, s in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            low = np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(COUNTERS)
+            counters.setdefault(c, np.zeros(COUNTERS, np.int64))[:] += np.bincount(low.astype(np.int64), minlength=COUNTERS)
+    for c, n in counters.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(COUNTERS, c)), pa.array(np.arange(COUNTERS)), pa.array(n)], ["cluster", "counter", "n"])
+
+
+def central(sets: DataFrame) -> DataFrame:
+    """The doc_id of the ``CENTRAL`` sets of each cluster whose shingles are the commonest in ``sets``."""
+    counters: dict[int, np.ndarray] = {}
+    for r in sets.mapInArrow(_counted, "cluster long, counter long, n long").groupBy("cluster", "counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        counters.setdefault(r["cluster"], np.zeros(COUNTERS))[r["counter"]] = r["n"]
+    shared = sets.sparkSession.sparkContext.broadcast(counters)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(2), strict=True)
+            score = [shared.value[c][(np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64)].mean() for c, s in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["cluster", "doc_id", "score"])
+
+    order = Window.partitionBy("cluster").orderBy(F.desc("score"), "doc_id")
+    ranked = sets.mapInArrow(scored, "cluster long, doc_id long, score double").withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") <= CENTRAL).select("doc_id").distinct()
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def block_links(sets: DataFrame, roots: DataFrame, probes: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) of ``probes`` (doc_id) with the sets of their clusters that lie in other components.
+
+    A cluster's probes and its sets are dealt to blocks of about ``block`` shingles, and a task compares one
+    block of each.
+    """
+    probe = F.col("_probe").isNotNull()
+    rows = roots.join(probes.withColumn("_probe", F.lit(True)), "doc_id", "left")
+    blocks = rows.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block).alias("_n"), F.ceil(F.sum(F.when(probe, F.col("n_shingles"))) / block).alias("_m"))
+    rows = sets.join(_few(staged(rows.drop("n_shingles").join(F.broadcast(blocks.where("_m > 0")), "cluster"), "rows")), ["cluster", "doc_id"])
+
+    def every(n: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    def one(n: str) -> F.Column:
+        return F.pmod(F.xxhash64("doc_id"), F.col(n))
+
+    fields = ["doc_id", "root", "shingles"]
+    members = rows.select("cluster", every("_m").alias("i"), one("_n").alias("j"), F.lit(False).alias("probe"), *fields)
+    probing = rows.where(probe).select("cluster", one("_m").alias("i"), every("_n").alias("j"), F.lit(True).alias("probe"), *fields)
+    place = ["cluster", "i", "j"]
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.unionByName(probing).repartition(n, *place).sortWithinPartitions(*place, "doc_id").mapInArrow(_block_links, "a long, b long")
+
+
 def _pair_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -225,6 +318,49 @@ def _pair_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def large_components(sets: DataFrame, members: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
+    """doc_id and component of ``members`` (doc_id, cluster, n_shingles), whose sets are compared in blocks.
+
+    First the most central sets are compared with all of their cluster, and the candidate pairs that are
+    still apart.  A pair of different components has a set outside the largest one: rounds of central sets go
+    on among those while a round halves their number, then all that are left are compared with all.
+    """
+
+    def rooted() -> DataFrame:
+        found = connected_components(links).withColumnsRenamed({"node": "doc_id", "component": "root"})
+        return staged(members.join(found, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "roots")
+
+    links = pairs.limit(0)
+    probed = members.select("doc_id").limit(0)
+    roots = members.withColumn("root", F.col("doc_id"))
+    before = None
+    while True:
+        top = roots.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("_top"))
+        outside = roots.join(F.broadcast(top), "cluster").where(F.col("root") != F.col("_top.root")).select("cluster", "doc_id")
+        outside = staged(outside.join(probed, "doc_id", "left_anti"), "outside")
+        n = outside.count()
+        if not n:
+            return roots.select("doc_id", F.col("root").alias("component"))
+        every = before is not None and 2 * n > before
+        probes = outside.select("doc_id") if every else central(sets.join(_few(outside), ["cluster", "doc_id"]).select("cluster", "doc_id", "shingles"))
+        probes = staged(probes, "probes")
+        links = staged(links.unionByName(block_links(sets, roots, probes, block)), "links")
+        roots = rooted()
+        if every:
+            return roots.select("doc_id", F.col("root").alias("component"))
+        if before is None:
+            apart = pairs
+            for x in "ab":
+                apart = apart.join(_few(roots.select(F.col("doc_id").alias(x), F.col("root").alias(f"_root_{x}"))), x)
+            apart = apart.where("_root_a != _root_b").select("a", "b")
+            for x in "ab":
+                apart = apart.join(sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"_{x}")), x)
+            links = staged(links.unionByName(apart.select("a", "b", "_a", "_b").mapInArrow(_pair_links, "a long, b long")), "links")
+            roots = rooted()
+        probed = staged(probed.unionByName(probes), "probed")
+        before = n
+
+
 def confirmed(docs: DataFrame, clusters: DataFrame, pairs: DataFrame, limit: int = CLUSTER_SHINGLES) -> DataFrame:
     """doc_id and component of the representatives in ``clusters`` (doc_id, n_shingles, cluster)."""
     sizes = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("_size"))
@@ -240,10 +376,10 @@ def confirmed(docs: DataFrame, clusters: DataFrame, pairs: DataFrame, limit: int
     out = small.mapInArrow(_confirm, "doc_id long, component long")
     if large.isEmpty():
         return out
-    rest = sets.join(large, "cluster", "left_semi").select("doc_id", "shingles").dropDuplicates(["doc_id"])
-    a, b = (rest.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
-    links = pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(_pair_links, "a long, b long")
-    return out.unionByName(connected_components(links).withColumnRenamed("node", "doc_id"))
+    # at most one large cluster for every ``limit`` shingles
+    rest = staged(sets.join(F.broadcast(large), "cluster", "left_semi").dropDuplicates(["doc_id"]), "large")
+    members = staged(clusters.where(F.col("_size") > limit).select("doc_id", "cluster", "n_shingles").dropDuplicates(["doc_id"]), "members")
+    return out.unionByName(large_components(rest, members, pairs, max(1, limit // 4)))
 
 
 def near_duplicates(docs: DataFrame, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
