@@ -156,6 +156,17 @@ def test_languages(spark, sf):
     assert {r.doc_id for r in held} == {r.doc_id for r in rows if __import__("zlib").crc32(str(r.doc_id).encode()) % 5 == 0}
 
 
+def test_few_ids_are_ranked(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "IF(id % 20 = 0, 'de', 'en') AS lang")
+    hashed = [(r.h, r.doc_id, r.lang) for r in rows.selectExpr("*", "xxhash64(CAST(doc_id AS STRING)) AS h").collect()]
+    found = {(r.lang, r.doc_id) for r in langid.smallest(rows, 300).collect()}
+    for lang in ("de", "en"):
+        first = sorted(x for x in hashed if x[2] == lang)[:300]
+        assert {(lang, d) for _, d, _ in first} <= found
+    assert len(found) < 2 * 300 + 50
+    assert {r.lang for r in langid.smallest(rows.where("doc_id < 100"), 300).collect()} == {"de", "en"}
+
+
 def test_language_cases(spark, docs, texts):
     rows = langid.identify(docs).collect()
     nothing = {d for d, t in texts.items() if not any(c.isalpha() for c in t)}

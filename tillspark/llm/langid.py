@@ -172,12 +172,24 @@ def _entropies(models: Models, key: int, texts: pa.Array) -> Iterator[tuple[np.n
         yield -np.add.reduceat(table[codes].astype(float), starts[:-1], axis=0), np.add.reduceat(sizes[codes], starts[:-1])
 
 
+def smallest(rows: DataFrame, n: int) -> DataFrame:
+    """The rows (doc_id, lang) that can be among the ``n`` of their language with the smallest id hashes, with
+    that hash: ``n`` and a 4096th of the language's rows, about, as hashes are counted by their first 12 bits."""
+    rows = rows.withColumn("hash", F.xxhash64(F.col("doc_id").cast("string")))
+    part = F.shiftright("hash", 52)
+    before = F.sum("count").over(Window.partitionBy("lang").orderBy("part")) - F.col("count")
+    counted = rows.groupBy("lang", part.alias("part")).count().withColumn("before", before)
+    last = counted.where(F.col("before") < n).groupBy("lang").agg(F.max("part").alias("last"))
+    return rows.join(F.broadcast(last), "lang").where(part <= F.col("last")).select("doc_id", "lang", "hash")
+
+
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Models | None:
     """Models of the languages in ``docs`` (doc_id, text, lang); None if there is nothing to learn from."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    # ids alone are ranked, and a language's bounded number of them is looked up in the table
-    chosen = staged(labelled.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= train_docs).drop("n"), "chosen")
+    # ids alone are ranked, few more than are taken, and looked up in the table
+    ranked = smallest(labelled.select("doc_id", "lang"), train_docs).withColumn("n", F.row_number().over(order))
+    chosen = staged(ranked.where(F.col("n") <= train_docs).drop("n", "hash"), "chosen")
     sample = staged(labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text"), "sample")
     counts = sample.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
