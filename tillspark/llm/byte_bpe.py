@@ -35,8 +35,7 @@ def tokenizer(ranks: dict[bytes, int], pattern: str):
     """A ``tokenizers`` tokenizer for a rank table and the pattern that cuts text before the merges."""
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-
-    chars = {token: as_chars_of_bytes(token) for token in ranks}
+    chars = {token: as_chars(token) for token in ranks}
     merges = [
         (chars[token[:i]], chars[token[i:]])
         for token in sorted(ranks, key=ranks.__getitem__)
@@ -50,13 +49,6 @@ def tokenizer(ranks: dict[bytes, int], pattern: str):
     return made
 
 
-def as_chars_of_bytes(token: bytes) -> str:
-    """The byte-level spelling of a token, which need not be whole UTF-8."""
-    from .tokens import _TO_CHARS
-
-    return token.decode("latin-1").translate(_TO_CHARS)
-
-
 def byte_table(ranks: dict[bytes, int]) -> pa.Array:
     """The bytes of each id; ids without a token are null."""
     out: list[bytes | None] = [None] * (max(ranks.values()) + 1)

@@ -134,24 +134,29 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, byte_leve
     spark = docs.sparkSession
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per document, and one per task with the counts of its ids."""
         enc, end = encoder(tokenizer, byte_level), np.array([end_id], "<u4")
         kind = "<u2" if enc.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        total = np.zeros(0, np.int64)
+        names = ["doc_id", "n_tokens", "ids", "counts"]
         for batch in batches:
             coded = [np.concatenate([ids, end]).astype(kind) for ids in enc.texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, coded), pa.int64()), pa.array([x.tobytes() for x in coded], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            found = np.bincount(np.concatenate(coded), minlength=len(total))
+            found[: len(total)] += total
+            total = found
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, coded), pa.int64()), pa.array([x.tobytes() for x in coded], pa.binary()), pa.nulls(len(coded), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids in ids_of(batch.column(1), batch.column(0)):
-                found = np.bincount(ids, minlength=len(total))
-                found[: len(total)] += total
-                total = found
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["id", "n"])
+            for x in batch.column(0):
+                total = np.frombuffer(x.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["id", "n"])
 
-    coded = staged(docs.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, n_tokens long, ids binary"), "ids")
+    coded = staged(docs.select("doc_id", "text").mapInArrow(tokenise, "doc_id long, n_tokens long, ids binary, counts binary"), "ids")
     # as many rows as the vocabulary has ids
-    counted = coded.select("n_tokens", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = coded.where("counts IS NOT NULL").select("counts").mapInArrow(unfold, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    coded = coded.where("counts IS NULL").drop("counts")
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
     counts[counted["id"]] = counted["n"]
     lengths = code_lengths(counts)
