@@ -118,6 +118,12 @@ def test_packing_in_several_rounds(spark):
     assert check_packing(rows, 64) <= 1.02 * sum(r.length for r in rows) / 64 + 1
 
 
+def test_packing_without_ids_and_of_pieces_that_do_not_combine(spark):
+    rows = [(None, 0, 3 + k % 5) for k in range(90)] + [(k, 0, 40) for k in range(200)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), 64, shard_pieces=50, slack=0).collect()
+    assert len(packed) == len(rows) and 200 <= check_packing(packed, 64) <= 204
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=80))
 def test_pack_lengths_property(lengths):

@@ -5,9 +5,11 @@
 
 Packing runs in rounds.  Pieces are dealt evenly to shards by a hash; a task packs its shard best-fit
 decreasing and improves it by exchanges between underfull bins (one piece moved, one for one, two for one
-or one for two) that raise the sum of squared fills, until a bin empties or nothing improves.  Bins that
-are left with a gap of more than ``slack`` ids are opened again, and their pieces (a few per shard) enter
-the next round with as many fewer shards, until one shard holds all that is left.
+or one for two) that raise the sum of squared fills, until no bin can be saved or nothing improves.  Bins
+with a gap of more than ``slack`` ids are opened again, and so many full ones with small pieces that the
+pieces left are no longer than all were on average: small ones fill the gaps of later rounds.  What is left
+enters the next round with as many fewer shards, until one shard holds it all.  A round that leaves over nine
+tenths of its pieces doubles the slack of the next, so that rounds end where pieces cannot be combined.
 
 Cases: a null or empty text is one piece with the end id alone; repeated rows are packed as often as they
 occur; null ids pass through; an empty table gives an empty result; other columns of the input are ignored
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,9 @@ from .tokens import IdEncoder, load
 SHARD_PIECES = 16_384
 #: A bin with a larger gap is packed again in the next round.
 SLACK = 2
-#: The search's bounds: passes over the underfull bins, lengths tried for a place, and bins looked through
-#: for two pieces to give.
-PASSES, TRIES, DONORS = 6, 4, 6
+#: The neighbourhood that is searched for an exchange: lengths tried for a place, and bins looked through for
+#: two pieces to give.
+TRIES, DONORS = 4, 6
 
 _encoders: dict[tuple[str, bool], IdEncoder] = {}
 
@@ -117,9 +118,7 @@ class Bins:
         for b in order:
             for x in self.bins[b]:
                 self._hold(x, b)
-        for _ in range(PASSES):
-            if spare <= 0:
-                return
+        while spare > 0:  # squares rise with every exchange, so this ends
             # fullest first: the bins behind give, so those at the end empty
             order.sort(key=lambda b: -self.fill[b])
             changed = 0
@@ -202,12 +201,34 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, np.array(packed.fill, np.int64)[bins]
 
 
-def _pack_shard(capacity: int, level: int, shard: pd.DataFrame) -> pd.DataFrame:
+def reopened(lengths: np.ndarray, bins: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """The pieces (of those marked ``full``) of full bins that are opened again: bins with the smallest pieces
+    first, until the open pieces' mean length is that of all."""
+    n = np.bincount(bins)
+    total = np.bincount(bins, weights=lengths)
+    closed = np.unique(bins[full])
+    closed = closed[np.argsort((total / np.maximum(n, 1))[closed], kind="stable")]
+    count = np.count_nonzero(~full) + np.concatenate([[0], np.cumsum(n[closed])])
+    length = lengths[~full].sum() + np.concatenate([[0], np.cumsum(total[closed])])
+    enough = np.flatnonzero(length <= lengths.mean() * count)
+    return full & np.isin(bins, closed[: enough[0] if len(enough) else 0])
+
+
+def _shard_packer(capacity: int, level: int, slack: int, last: bool):
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        return _pack_shard(shard, capacity, level, slack, last)
+
+    return run
+
+
+def _pack_shard(shard: pd.DataFrame, capacity: int, level: int, slack: int, last: bool) -> pd.DataFrame:
     shard = shard.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-    bins, fill = pack_lengths(shard["length"].to_numpy(), capacity)
+    lengths = shard["length"].to_numpy()
+    bins, fill = pack_lengths(lengths, capacity)
     shard["sequence_id"] = (level << 56) + (shard["_shard"].to_numpy() << 24) + bins
-    shard["offset"] = shard.groupby(bins)["length"].cumsum().to_numpy() - shard["length"].to_numpy()
-    shard["_gap"] = capacity - fill
+    shard["offset"] = shard.groupby(bins)["length"].cumsum().to_numpy() - lengths
+    full = capacity - fill <= slack
+    shard["_done"] = last | (full & ~reopened(lengths, bins, full))
     return shard.drop(columns="_shard")
 
 
@@ -217,27 +238,23 @@ def pack(parts: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIECE
     Lengths must lie between 1 and ``capacity``.
     """
     columns = parts.columns
+    # pieces without an id are dealt out by what else they have
+    key = [f.name for f in parts.schema if not isinstance(f.dataType, T.ArrayType)]
     left = staged(parts, "pieces")
     done: list[DataFrame] = []
     n, level = left.count(), 0
-    while True:
+    while n or not done:
         shards = max(1, -(-n // shard_pieces))
-        keyed = left.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(shards)))
-        schema = T.StructType([*left.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "_gap"))])
-        packed = staged(keyed.groupBy("_shard").applyInPandas(partial(_pack_shard, capacity, level), schema), "packed")
+        keyed = left.withColumn("_shard", F.pmod(F.xxhash64(*key, F.lit(level)), F.lit(shards)))
+        schema = T.StructType([*left.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset")), T.StructField("_done", T.BooleanType())])
+        packed = staged(keyed.groupBy("_shard").applyInPandas(_shard_packer(capacity, level, slack, shards == 1), schema), "packed")
+        done.append(packed.where("_done"))
         if shards == 1:
-            done.append(packed)
-            break
-        done.append(packed.where(F.col("_gap") <= slack))
-        left = packed.where(F.col("_gap") > slack).select(columns)
-        left_n = left.count()
-        # a round that closes hardly any bin is the last: its bins stay as they are
-        if left_n > 0.9 * n:
-            done[-1] = packed
-            break
-        n, level = left_n, level + 1
-        if not n:
             break
+        left = packed.where("NOT _done").select(columns)
+        before, n, level = n, left.count(), level + 1
+        if n > 0.9 * before:
+            slack = max(1, 2 * slack)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
