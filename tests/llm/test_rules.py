@@ -134,6 +134,8 @@ def test_shape_is_the_inverse_factor(spark):
 def test_kneser_ney_sums_to_one():
     counts = pd.DataFrame([("en", g, n) for g, n in (("\x02\x02\x02a", 3), ("\x02\x02ab", 2), ("\x02aba", 1), ("\x02\x02ac", 1), ("\x02ab\x02", 1), ("aba\x02", 1))], columns=["lang", "gram", "n"])
     models = langid.build(counts)
+    # the characters that end a string, and one that was never met
+    seen = sorted({g[-1] for g in counts["gram"]}) + ["q"]
     for context in ("\x02\x02\x02", "\x02\x02a", "\x02ab", "zzz"):
         total = 0.0
         for c in [*seen, ""]:
