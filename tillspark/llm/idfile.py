@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .packing import encoder
 
-#: Longest code in bits; the decoding table has two to that power entries.
+#: Longest code in bits, unless there are more ids than such codes; the decoding table has two to that power entries.
 LIMIT = 16
 #: Ids of a block, the unit that is decoded alone.
 BLOCK = 512
@@ -159,9 +159,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, byte_leve
     coded = coded.where("counts IS NULL").drop("counts")
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 1, np.int64)
     counts[counted["id"]] = counted["n"]
-    lengths = code_lengths(counts)
+    # a vocabulary of more ids than codes of LIMIT bits takes longer ones
+    limit = max(LIMIT, (int(np.count_nonzero(counts)) - 1).bit_length())
+    lengths = code_lengths(counts, limit)
     codes = canonical(lengths)
-    spark.createDataFrame([(LIMIT, BLOCK, bytearray(lengths.tobytes()))], "code_limit int, block int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
+    spark.createDataFrame([(limit, BLOCK, bytearray(lengths.tobytes()))], "code_limit int, block int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
