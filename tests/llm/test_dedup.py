@@ -105,10 +105,31 @@ def edited(seed: int, text: str, edits: int) -> str:
 def test_near_duplicates_in_dense_groups(spark, limit):
     """Groups of copies that are linked with their base, and not always with each other."""
     base = [prose(s, 150) for s in range(4)]
-    texts = [*base, *(edited(k, base[k % 4], 3 if limit > 100 else 2) for k in range(60)), *(prose(100 + k) for k in range(30)), "", "one two"]
-    expected = brute_near(dict(enumerate(texts)))
-    found = near_of(frame(spark, texts), cluster_shingles=limit)
-    assert found == expected
+    texts = [*base, *(edited(k, base[k % 4], 3 + k % 2) for k in range(120)), *(prose(100 + k) for k in range(30)), "", "one two"]
+    assert near_of(frame(spark, texts), cluster_shingles=limit) == brute_near(dict(enumerate(texts)))
+
+
+def test_near_duplicates_without_id_or_with_one_twice(spark):
+    text = prose(1)
+    rows = [(5, text), (5, prose(2)), (7, text + " end"), (None, text), (None, None), (9, prose(2)), (9, prose(2))]
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in found if r.doc_id is None) == [(0, None, True), (len(text.split()) - 4, None, True)]
+    assert {(r.doc_id, r.component_id) for r in found if r.doc_id is not None} == {(5, 5), (7, 5), (9, 5)}
+
+
+def test_pairs_amid_texts_with_a_common_passage(spark):
+    """A dense region: all texts share a passage (not enough to be linked), a few have a partner at 0.75 or more."""
+    passage = prose(3, 60)
+    texts = [f"{prose(1000 + k, 40)} {passage} {prose(5000 + k, 40)}" for k in range(600)]
+    texts += [edited(k, texts[k], 2) for k in range(60)]
+    assert near_of(frame(spark, texts)) == brute_near(dict(enumerate(texts)))
+
+
+def test_signature_bytes_tell_long_texts_apart():
+    rng = np.random.default_rng(5)
+    for n in (50, 1000, 20_000):
+        a, b = (np.frombuffer(near.signature_bytes(near._signed(rng.integers(0, 1 << 63, n).astype(np.uint64))), np.uint8) for _ in range(2))
+        assert (a == b).mean() < 0.1
 
 
 def test_star_of_copies_in_a_large_cluster(spark):

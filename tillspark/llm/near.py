@@ -4,16 +4,21 @@
    class, represented by its smallest id.
 2. A representative's signature is ``TREES * DEPTH`` minimum hashes.  Tree t orders all representatives by
    the signature read from hash ``DEPTH * t`` on, around the ring.  Those that agree in the first DEPTH
-   hashes form a region; in it, the next ``NEIGHBOURS`` in the order, which share the longest prefixes, are
-   candidates: small regions are compared whole, and dense ones at the depth that tells their texts apart.
-   A pair at similarity 0.75 meets in some region but for 2 in a million cases.
+   hashes form a region.  A region of up to ``WINDOW`` rows is compared whole; in a denser one a row meets
+   the ``WINDOW`` rows behind it in the order, those of the longest common prefixes, so that the depth at
+   which texts are told apart follows the region.  A pair at similarity 0.75 meets in some region but for 2
+   in a million cases.  Dense regions come from passages that many texts share; texts that are similar by
+   half through them join one cluster, which is confirmed whole.  With less in common, a pair still meets in
+   a region of its own in 998 of 1000 cases, whatever the dense ones hold: it shares three hashes of which
+   one lies outside the passage in a tree with probability 0.75**3 - 0.583**3 = 0.22.
 3. Candidates whose signatures agree in ``LEAST_AGREEMENT`` of all places join into clusters.
 4. A cluster is confirmed on full sets: every pair of different components is decided, so that no link
    inside it is lost.  One of at most ``CLUSTER_SHINGLES`` shingles is confirmed by one task (see
    ``Cluster.components``), larger ones in blocks by many (see ``large_components``).
 
 Cases: a null text, and one without words, has an empty set and is linked with nothing; rows that repeat an
-id count once; null ids are ignored; an empty table gives an empty result; other columns are ignored.
+id count once; a row without an id is linked with nothing and stays, its component is null; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +36,12 @@ from .hashing import mix, shingle_sets
 from .tokens import slices
 
 TREES, DEPTH = 24, 3
-#: Documents behind one in a tree's order with which it is compared.
-NEIGHBOURS = 4
+#: Rows behind one in a tree's order with which it is compared.
+WINDOW = 32
 #: Share of equal minimum hashes from which candidates join a cluster; five deviations under 0.75.
 LEAST_AGREEMENT = 0.5
-#: Shingles of a cluster that one task confirms (8 bytes each).
-CLUSTER_SHINGLES = 4_000_000
+#: Shingles of a cluster that one task confirms (8 bytes each), and as how many more a set counts.
+CLUSTER_SHINGLES, SET_SHINGLES = 4_000_000, 200
 #: Sets of a large cluster that are compared with all in one round, and counters by which they are chosen
 #: (8 bytes each, for every large cluster, at the driver and executors).
 CENTRAL, COUNTERS = 8, 4096
@@ -68,6 +73,11 @@ def _signed(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def signature_bytes(sig: np.ndarray) -> bytes:
+    """A byte of each minimum, spread over all its bits: the high ones are zero in every long text's."""
+    return (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, two hashes of the set, the trees' region keys, and the signature in bytes."""
     for batch in batches:
@@ -85,7 +95,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 heads = sig.reshape(TREES, DEPTH).astype(np.uint64)
                 keys = mix((heads * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)).sum(axis=1) + np.arange(TREES, dtype=np.uint64))
                 a, b = int(s.sum(dtype=np.uint64)), int(mix(s).sum(dtype=np.uint64))
-                rows.append((len(s), a, b, keys.view(np.int64), (sig >> np.uint32(24)).astype(np.uint8).tobytes()))
+                rows.append((len(s), a, b, keys.view(np.int64), signature_bytes(sig)))
             n, a, b, keys, sig = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [doc_ids, pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
@@ -98,7 +108,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows (key, sig, doc_id) that come in order."""
+    """Candidate pairs of rows (key, sig, doc_id) that come in order; none that a chain of neighbours joins."""
     held_key, held_id, held_sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint8)
     for batch in batches:
         if not batch.num_rows:
@@ -106,13 +116,27 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([held_key, batch.column(0).to_numpy()])
         doc = np.concatenate([held_id, batch.column(2).to_numpy()])
         sig = np.concatenate([held_sig, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)])
-        for step in range(1, NEIGHBOURS + 1):
-            # pairs within what was held came with the batch before
-            at = np.arange(max(0, len(held_key) - step), len(key) - step)
+        left, right = [], []
+        chain = None
+        at = np.arange(len(key))
+        for step in range(1, WINDOW + 1):
+            at = at[at < len(key) - step]
             at = at[key[at] == key[at + step]]
-            at = at[(sig[at] == sig[at + step]).mean(axis=1) >= LEAST_AGREEMENT]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[at], doc[at + step])), pa.array(np.maximum(doc[at], doc[at + step]))], ["a", "b"])
-        held_key, held_id, held_sig = key[-NEIGHBOURS:], doc[-NEIGHBOURS:], sig[-NEIGHBOURS:]
+            if chain is not None:
+                at = at[chain[at] != chain[at + step]]
+            # pairs within what was held came with the batch before
+            new = at[at + step >= len(held_key)] if chain is not None else at
+            close = new[(sig[new] == sig[new + step]).mean(axis=1) >= LEAST_AGREEMENT]
+            if chain is None:
+                linked = np.zeros(len(key), bool)
+                linked[close + 1] = True
+                chain = np.cumsum(~linked)
+                close = close[close + step >= len(held_key)]
+            left.append(doc[close])
+            right.append(doc[close + step])
+        a, b = np.concatenate(left), np.concatenate(right)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        held_key, held_id, held_sig = key[-WINDOW:], doc[-WINDOW:], sig[-WINDOW:]
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -147,15 +171,33 @@ class Cluster:
         self.posting = owner[order]
         self.first = np.flatnonzero(fresh)
         self.last = np.concatenate([self.first[1:], [len(flat)]])
-        self.codes = np.split(code, np.cumsum(self.sizes)[:-1])
+        self.code, self.begin = code, np.cumsum(self.sizes) - self.sizes
+        self.codes = np.split(code, self.begin[1:])
+        self.marked = np.zeros(len(self.first), bool)
 
     def linked(self, i: int) -> np.ndarray:
-        """Every set that is linked with set ``i``, from the inverted index."""
-        a, b = self.first[self.codes[i]], self.last[self.codes[i]]
-        n = b - a
-        places = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        both = np.bincount(self.posting[places], minlength=len(self.sets))
-        return np.flatnonzero(100 * both >= LINK * (self.sizes[i] + self.sizes - both))
+        """Every set that is linked with set ``i``, from the inverted index.
+
+        A linked set shares ``LINK`` hundredths of this set's shingles, so it holds one of any that are one
+        more than the rest: only sets with one of those, the rarest, are compared.
+        """
+        codes = self.codes[i]
+        n = self.last[codes] - self.first[codes]
+        rare = codes[np.argsort(n, kind="stable")[: len(codes) - -(-LINK * len(codes) // 100) + 1]]
+        others = np.unique(self.posting[self._spans(self.first[rare], self.last[rare])])
+        if n.sum() < self.sizes[others].sum():
+            both = np.bincount(self.posting[self._spans(self.first[codes], self.last[codes])], minlength=len(self.sets))[others]
+        else:
+            self.marked[codes] = True
+            sizes = self.sizes[others]
+            both = np.add.reduceat(self.marked[self.code[self._spans(self.begin[others], self.begin[others] + sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64)
+            self.marked[codes] = False
+        return others[100 * both >= LINK * (self.sizes[i] + self.sizes[others] - both)]
+
+    @staticmethod
+    def _spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        n = last - first
+        return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
     def join(self, i: int) -> np.ndarray:
         """Joins the components that set ``i`` is linked with; a linked set of each but its own."""
@@ -363,7 +405,7 @@ def large_components(sets: DataFrame, members: DataFrame, pairs: DataFrame, bloc
 
 def confirmed(docs: DataFrame, clusters: DataFrame, pairs: DataFrame, limit: int = CLUSTER_SHINGLES) -> DataFrame:
     """doc_id and component of the representatives in ``clusters`` (doc_id, n_shingles, cluster)."""
-    sizes = clusters.groupBy("cluster").agg(F.sum("n_shingles").alias("_size"))
+    sizes = clusters.groupBy("cluster").agg(F.sum(F.col("n_shingles") + SET_SHINGLES).alias("_size"))
     clusters = staged(clusters.join(sizes, "cluster"), "clusters")
     members = clusters.select("doc_id", "cluster")
     if clusters.count() <= BROADCAST_IDS:
@@ -396,4 +438,6 @@ def near_duplicates(docs: DataFrame, cluster_shingles: int = CLUSTER_SHINGLES) -
     known = members.join(found.withColumnRenamed("doc_id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").distinct().join(known.distinct(), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    decided = out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    unnamed = digests(docs.where("doc_id IS NULL")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return decided.unionByName(unnamed)
