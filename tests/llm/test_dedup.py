@@ -45,13 +45,28 @@ def test_exact_dedup(docs, texts, bits):
     assert found == brute_exact(texts)
 
 
-def test_exact_dedup_of_repeated_rows_and_none(spark):
+@pytest.mark.parametrize("bits", [256, 4])
+def test_exact_dedup_of_repeated_rows_and_none(spark, bits):
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "ab"), (2, "a  b")], "doc_id long, text string")
-    rows = exact.exact_dedup(twice).collect()
-    assert [r.keep_id for r in rows] == [2] * 4 and sum(r.kept for r in rows) == 1
-    same = exact.exact_dedup(spark.createDataFrame([(1, "a"), (1, "a")], "doc_id long, text string")).collect()
-    assert sorted(r.kept for r in same) == [False, True]
-    assert exact.exact_dedup(twice.limit(0)).count() == 0
+    rows = exact.exact_dedup(twice, bits).collect()
+    assert [r.keep_id for r in rows] == [2] * 4 and sorted(r.kept for r in rows) == [False, False, False, True]
+    # as many texts as digests of four bits, so that some meet
+    more = [(k // 2, f"text {k // 2}") for k in range(40)] + [(None, "x"), (None, "x"), (None, None)]
+    rows = exact.exact_dedup(spark.createDataFrame(more, "doc_id long, text string"), bits).collect()
+    assert sorted(r.doc_id for r in rows if r.kept and r.doc_id is not None) == list(range(20))
+    assert sorted((r.group_size, r.kept) for r in rows if r.doc_id is None) == [(1, True), (2, False), (2, True)]
+    assert exact.exact_dedup(twice.limit(0), bits).count() == 0
+
+
+def test_later_arrivals_meet_old_state(spark, docs, texts, tmp_path):
+    before = spark.conf.getAll
+    first, second = docs.where("doc_id < 8"), docs.where("doc_id >= 8")
+    found = exact.exact_dedup(first, state=str(tmp_path / "state"))
+    assert {r.doc_id: r.keep_id for r in found.collect()} == {d: x[0] for d, x in brute_exact({d: t for d, t in texts.items() if d < 8}).items()}
+    for part, expected in ((second, brute_exact(texts)), (second.limit(0), brute_exact(texts))):
+        found = exact.exact_dedup(part, state=str(tmp_path / "state")).collect()
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found} == expected
+    assert spark.conf.getAll == before
 
 
 def test_exact_stream_goes_on_over_several_batches(spark, docs, tmp_path):

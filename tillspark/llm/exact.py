@@ -1,27 +1,26 @@
 """Operator 5: exact deduplication as a stateful stream.
 
-``arrivals`` reduces every row to its digest, stable id, length and a content locator (the row's number in
-the landing table).  ``exact_groups`` streams them through keyed state that RocksDB keeps on disk, without
-watermark or expiry: the state of a digest is the best row so far and the number of rows.  Every hit is then
-checked on full bytes: the normalised texts of a digest must be one text, else its rows are grouped anew by
-the texts themselves.
+``arrivals`` adds rows to a landing table: digest, stable id, length, a content locator (number of the arrival,
+and of the row in it) and the text that it locates.  ``exact_groups`` streams the digests through keyed state
+that RocksDB keeps on disk, without watermark or expiry: the state of a digest is the best row so far and the
+number of rows.  Every hit is then checked on full bytes: the normalised texts of a digest, which its locators
+lead to, must be one text, else its rows are grouped anew by the texts themselves.  With a ``state`` folder,
+later arrivals meet what is there.
 
 Cases: a null or empty text, or one of white space alone, is the empty text; of rows with equal texts, length
-and id the one that lies first in the landing table stays; null ids lose against others; an empty table gives
-an empty result; other columns are ignored.
+and id the one that arrived first stays; null ids lose against others, and of null ids alone the first row
+stays (its keep_id is null); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged
+from .common import BROADCAST_IDS, fresh_path, staged
 
 #: The characters that make no difference, `[\\x20\\x09-\\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Up to so many digests (32 bytes each) are broadcast to find the rows that are checked; more are joined.
-BROADCAST_DIGESTS = 500_000
 #: State on disk; without fallocate, which would reserve megabytes for each of many small stores.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -39,68 +38,88 @@ def digest(text: Column, bits: int = 256) -> Column:
 
 
 def arrivals(docs: DataFrame, path: str, bits: int = 256) -> DataFrame:
-    """The landing table, written to ``path``: digest, doc_id, n_cp (code points of the text) and row (the content locator)."""
-    text = F.coalesce("text", F.lit(""))
-    whole = [digest(F.col("text")).alias("text_sha256")] if bits < 256 else []
-    return staged(docs.select(digest(F.col("text"), bits).alias("digest"), *whole, "doc_id", F.length(text).cast("long").alias("n_cp"), F.monotonically_increasing_id().alias("row")), "arrivals", path)
+    """The landing table at ``path`` with the rows of ``docs`` added: digest, doc_id, n_cp (code points of the
+    text), arrival and row (the content locator) and text."""
+    spark = docs.sparkSession
+    number = F.lit(_arrived(spark, path)).alias("arrival")
+    n_cp = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp")
+    rows = docs.select(digest(F.col("text"), bits).alias("digest"), "doc_id", n_cp, number, F.monotonically_increasing_id().alias("row"), "text")
+    rows.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _found(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """The table at ``path``, or one without rows if nothing was written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _arrived(spark: SparkSession, path: str) -> int:
+    last = _found(spark, "arrival int", path).agg(F.max("arrival").alias("last")).first()["last"]
+    return 0 if last is None else last + 1
+
+
+def best() -> Column:
+    """The row that stays of those with one text."""
+    return F.max(F.struct("n_cp", (-F.col("doc_id")).alias("id"), (-F.col("arrival")).alias("arrival"), (-F.col("row")).alias("row"))).alias("best")
+
 
+BEST = "struct<n_cp: long, id: long, arrival: int, row: long>"
 
-def exact_groups(landing: DataFrame, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """digest, keep_id, keep_row and group_size of every digest in the landing table (Parquet at ``path``).
 
-    A stream that starts again from its checkpoint goes on where it stopped, and a batch that runs twice
-    overwrites its own output.
+def exact_groups(landing: DataFrame, path: str, files_per_batch: int = 1000, state: str | None = None) -> DataFrame:
+    """digest, best and group_size of every digest in the landing table (Parquet at ``path``).
+
+    The stream goes on from its checkpoint in the folder ``state``, where one is given, and a batch that runs
+    twice overwrites its own output.  It runs in a session of its own, as the state store is a setting.
     """
     spark = landing.sparkSession
-    out = fresh_path(spark, "groups")
-    best = F.max(F.struct("n_cp", (-F.col("doc_id")).alias("id"), (-F.col("row")).alias("row"))).alias("best")
-    stream = spark.readStream.schema(landing.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    state = stream.groupBy("digest").agg(best, F.count("*").alias("group_size"))
+    state = state or fresh_path(spark, "stream")
+    session = spark.newSession()
+    for k, v in (spark.conf.getAll | STATE).items():
+        if session.conf.isModifiable(k):
+            session.conf.set(k, v)
+    stream = session.readStream.schema(landing.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).drop("text")
+    groups = stream.groupBy("digest").agg(best(), F.count("*").alias("group_size"))
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{state}/groups/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
-        query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", fresh_path(spark, "stream")).foreachBatch(keep).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    schema = "digest string, best struct<n_cp: long, id: long, row: long>, group_size long, batch int"
-    try:
-        found = spark.read.schema(schema).parquet(out)
-    except Exception as error:  # no batch ran: the landing table has no row
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        found = spark.createDataFrame([], schema)
+    query = groups.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{state}/checkpoint").foreachBatch(keep).start()
+    query.awaitTermination()
+    found = _found(spark, f"digest string, best {BEST}, group_size long, batch int", f"{state}/groups")
     # each batch updates the digests it met; the size only grows
-    last = found.groupBy("digest").agg(F.max(F.struct("group_size", "best")).alias("s"))
-    return last.select("digest", (-F.col("s.best.id")).alias("keep_id"), (-F.col("s.best.row")).alias("keep_row"), F.col("s.group_size").alias("group_size"))
+    return found.groupBy("digest").agg(F.max(F.struct("group_size", "best")).alias("s")).select("digest", "s.best", "s.group_size")
+
 
+def exact_dedup(docs: DataFrame, bits: int = 256, state: str | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
-def exact_dedup(docs: DataFrame, bits: int = 256) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    path = fresh_path(docs.sparkSession, "arrivals")
+    ``state``: a shared folder that keeps landing table and state; the result then covers all that arrived
+    there so far.
+    """
+    state = state or fresh_path(docs.sparkSession, "arrivals")
+    path = f"{state}/landing"
     landing = arrivals(docs, path, bits)
-    groups = staged(exact_groups(landing, path), "groups")
+    groups = staged(exact_groups(landing, path, state=state), "groups")
     hits = groups.where("group_size > 1").select("digest")
-    if hits.count() <= BROADCAST_DIGESTS:
+    if hits.count() <= BROADCAST_IDS // 4:  # a digest is as long as some ids
         hits = F.broadcast(hits)
-    texts = docs.select(digest(F.col("text"), bits).alias("digest"), "doc_id", "text").join(hits, "digest")
     whole = normalised(F.col("text"))
+    texts = landing.join(hits, "digest")
     unequal = texts.groupBy("digest").agg(F.min(whole).alias("a"), F.max(whole).alias("b")).where("a != b").select("digest")
     unequal = staged(unequal, "unequal")
-    decided = landing.join(groups, "digest").select(
-        "digest", "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest" if bits == 256 else "text_sha256").alias("text_sha256")
-    )
-    if bits == 256 and unequal.isEmpty():
-        return decided.drop("digest")
-    # digests that are no SHA-256, or met by different texts
-    odd = texts.join(unequal, "digest").withColumns({"text": whole, "n_cp": F.length(F.coalesce("text", F.lit("")))})
-    own = odd.groupBy("digest", "text").agg(F.max(F.struct("n_cp", (-F.col("doc_id")).alias("id"))).alias("best"), F.count("*").alias("group_size"))
-    sha = F.sha2("text", 256).alias("text_sha256")
-    regrouped = odd.drop("n_cp").join(own, ["digest", "text"]).select("doc_id", (-F.col("best.id")).alias("keep_id"), "group_size", (F.col("doc_id") == -F.col("best.id")).alias("kept"), sha)
-    return decided.join(unequal, "digest", "left_anti").drop("digest").unionByName(regrouped)
+    stays = ((-F.col("arrival")).eqNullSafe(F.col("best.arrival")) & (-F.col("row")).eqNullSafe(F.col("best.row"))).alias("kept")
+    sha = F.col("digest") if bits == 256 else digest(F.col("text"))
+    rows = landing.join(groups, "digest").select("digest", "doc_id", (-F.col("best.id")).alias("keep_id"), "group_size", stays, sha.alias("text_sha256"))
+    if unequal.isEmpty():
+        return rows.drop("digest")
+    # digests that are met by different texts
+    odd = landing.join(unequal, "digest").withColumn("text", whole)
+    own = odd.groupBy("digest", "text").agg(best(), F.count("*").alias("group_size"))
+    regrouped = odd.join(own, ["digest", "text"]).select("doc_id", (-F.col("best.id")).alias("keep_id"), "group_size", stays, F.sha2("text", 256).alias("text_sha256"))
+    return rows.join(unequal, "digest", "left_anti").drop("digest").unionByName(regrouped)
