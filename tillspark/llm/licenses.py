@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
@@ -103,6 +103,58 @@ NOTICES = [
     ("proprietary", "proprietary and confidential", "proprietary and", 2, 0.8),
     ("proprietary", "unauthori[sz]ed (?:copying|use|distribution) (?:of this (?:file|software|document) )?(?:is )?(?:strictly )?prohibited", "prohibited", 2, 0.8),
     ("creative-commons", "(?:a )?creative commons licen[cs]e", "creative commons", 1, 0.6),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies", "permission notice", 2, 0.85),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish", "without restriction", 3, 0.9),
+    ("mit", "mit x11 licen[cs]e", "mit x11", 2, 0.9),
+    ("mit", "mit style licen[cs]e", "mit style", 1, 0.6),
+    ("mit-0", "mit no attribution", "no attribution", 3, 0.95),
+    ("mit-cmu", "cmu licen[cs]e", "cmu licen", 2, 0.8),
+    ("isc", "the author disclaims all warranties with regard to this software", "disclaims all warranties", 2, 0.7),
+    ("bsd", "neither the name of (?:the )?(?:\\S+ ){1,8}nor the names of its contributors may be used to endorse", "nor the names of", 2, 0.85),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source", 1, 0.7),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in binary", 1, 0.7),
+    ("bsd", "bsd style licen[cs]e", "bsd style", 1, 0.6),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display", "advertising materials", 3, 0.9),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "redistribute it and or modify", 2, 0.9),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", "redistribute it and or modify", 2, 0.9),
+    ("gpl", "you should have received a copy of the gnu general public licen[cs]e", "should have received a copy", 2, 0.85),
+    ("lgpl", "you should have received a copy of the gnu lesser general public licen[cs]e", "should have received a copy", 2, 0.85),
+    ("agpl", "you should have received a copy of the gnu affero general public licen[cs]e", "should have received a copy", 2, 0.85),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", "and or modify this document", 3, 0.95),
+    ("apache", "you may not use this file except in compliance with the licen[cs]e", "except in compliance", 1, 0.7),
+    ("apache-2", "you may obtain a copy of the licen[cs]e at http www apache org licen[cs]es licen[cs]e 2 0", "www apache org", 3, 0.95),
+    ("apache", "licen[cs]ed to the apache software foundation asf under one or more contributor licen[cs]e agreements", "apache software foundation", 3, 0.9),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", "source code form", 3, 1.0),
+    ("mpl", "the contents of this file are subject to the mozilla public licen[cs]e", "contents of this file are subject", 2, 0.9),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", "accompanying materials", 2, 0.9),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "contents of this file are subject", 2, 0.9),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "person or organization obtaining", 3, 0.95),
+    ("zlib", "altered source versions must be plainly marked as such", "plainly marked", 2, 0.85),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "free to copy modify publish", 3, 0.9),
+    ("artistic", "you may make and give away verbatim copies of the source form", "give away verbatim copies", 2, 0.85),
+    ("ofl", "this font software is licen[cs]ed under the sil open font licen[cs]e", "font software is licen", 2, 0.9),
+    ("cc0", "to the extent possible under law the (?:author|person|authors) (?:\\S+ ){0,8}(?:has|have) (?:dedicated|waived) all copyright", "extent possible under law", 3, 0.9),
+    ("cc-by", "this (?:work|article|book|page) is licen[cs]ed under a creative commons attribution", "creative commons attribution", 2, 0.9),
+    ("creative-commons", "some rights reserved", "some rights reserved", 1, 0.5),
+    ("public-domain", "no rights reserved", "no rights reserved", 1, 0.6),
+    ("public-domain", "this work is free of known copyright restrictions", "known copyright restrictions", 2, 0.8),
+    ("proprietary", "this (?:document|file|software) contains confidential information", "confidential information", 2, 0.7),
+    ("proprietary", "may not be (?:copied|reproduced|distributed) (?:\\S+ ){0,6}without (?:the )?(?:prior )?(?:express )?written (?:permission|consent)", "written", 1, 0.6),
+    ("eula", "end user licen[cs]e agreement", "end user licen", 2, 0.8),
+    ("eula", "by (?:installing|using|downloading) (?:this|the) software you agree", "you agree", 1, 0.6),
+    ("shareware", "this is shareware", "shareware", 1, 0.6),
+    ("freeware", "this (?:software|program) is freeware", "freeware", 1, 0.6),
+    ("json", "the software shall be used for good not evil", "for good not evil", 3, 0.95),
+    ("ncsa", "university of illinois open source licen[cs]e", "illinois open source", 3, 0.9),
+    ("w3c", "w3c software (?:notice and )?licen[cs]e", "w3c software", 2, 0.9),
+    ("x11", "x11 licen[cs]e", "x11 licen", 2, 0.8),
+    ("curl", "curl licen[cs]e", "curl licen", 2, 0.8),
+    ("postgresql", "postgresql licen[cs]e", "postgresql licen", 2, 0.9),
+    ("ruby", "ruby licen[cs]e", "ruby licen", 2, 0.8),
+    ("perl", "under the same terms as perl(?: itself)?", "same terms as perl", 2, 0.85),
+    ("vim", "vim licen[cs]e", "vim licen", 2, 0.8),
+    ("gpl", "licen[cs]ed under the gpl", "gpl", 1, 0.7),
+    ("dual", "dual licen[cs]ed under", "dual licen", 1, 0.5),
 ]
 
 #: Creative Commons: the elements of a licence in their order, spelled out.
@@ -146,6 +198,8 @@ def rules() -> list[Rule]:
 #: Every rule's match holds one of these.
 PREFILTER = (
     "(?i)licen[cs]|spdx|hereby|permission|redistribution|unencumbered|wtfpl|fuck|cc0|creative|reserved|proprietary|prohibited|bsd|event"
+    "|disclaims|nor[^a-z]|advertising|compliance|subject|accompanying|altered|anyone|verbatim|extent|restrictions|confidential|written"
+    "|agree|shareware|freeware|evil|perl|attribution|without"
     f"|public{SEPARATOR}+domain|(?<![0-9A-Za-z])cc{SEPARATOR}+by"
 )
 
@@ -160,23 +214,17 @@ def matches(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame:
     ``docs`` holds row (a number per document) and norm (its words, a space before and behind each).
     """
     table = F.array(*(
-        F.struct(*(F.lit(getattr(r, c)).alias(c) for c in ("label", "keyword", "priority", "weight", "base")), F.lit(f"(?<= ){r.regex}(?= )").alias("regex"))
-        for r in found or rules()
+        F.struct(F.lit(k).alias("rule"), *(F.lit(getattr(r, c)).alias(c) for c in ("label", "keyword", "priority", "weight", "base")), F.lit(f"(?<= ){r.regex}(?= )").alias("regex"))
+        for k, r in enumerate(found or rules())
     ))
     gated = docs.select("row", "norm", F.explode(F.filter(table, lambda r: F.contains(F.col("norm"), r["keyword"]))).alias("r"))
     hits = gated.select("row", "r", F.expr("regexp_extract_all(norm, r.regex, 0)").alias("hit"), "norm").where(F.size("hit") > 0)
     # the words before a match: those in the parts before it, and in the matches before it
-    parts = hits.select("row", "r", "hit", F.expr("split(norm, r.regex)").alias("part"))
-    sizes = parts.select("row", "r", F.transform("hit", _spaces).alias("h"), F.transform("part", _spaces).alias("p"))
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<struct<first: int, last: int>>").alias("out"))
-
-    def step(s: Column, i: Column) -> Column:
-        first = s["at"] + F.get("p", i)
-        last = first + F.get("h", i)
-        return F.struct(last.alias("at"), F.concat(s["out"], F.array(F.struct(first.alias("first"), last.alias("last")))).alias("out"))
-
-    spans = F.aggregate(F.sequence(F.lit(0), F.size("h") - 1), start, step)["out"]
-    return sizes.select("row", "r.label", "r.priority", "r.weight", "r.base", F.inline(spans))
+    parts = hits.select("row", "r", F.transform("hit", _spaces).alias("h"), F.transform(F.expr("split(norm, r.regex)"), _spaces).alias("p"))
+    single = parts.select("row", "r.rule", "r.label", "r.priority", "r.weight", "r.base", F.posexplode("h").alias("k", "h"), "p")
+    single = single.withColumn("p", F.get("p", F.col("k"))).repartition("row")
+    last = F.sum(F.col("p") + F.col("h")).over(Window.partitionBy("row", "rule").orderBy("k")) - 1
+    return single.withColumn("last", last.cast("int")).select("row", "label", "priority", "weight", "base", (F.col("last") - F.col("h")).alias("first"), "last")
 
 
 def surviving(found: DataFrame) -> DataFrame:
