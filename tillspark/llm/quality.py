@@ -4,15 +4,17 @@
 ``outliers`` estimates centre and scatter of the transformed statistics in each cell (language and source) by
 the minimum covariance determinant and measures each document's Mahalanobis distance from its own cell.
 
-The estimate starts from the ``SUPPORT`` share of documents nearest to the medians (in units of the median
-deviation) and takes ``STEPS`` concentration steps: centre and covariance of the subset, then the share
-nearest under them.  Every step is one grouped aggregation of bounded state.  Distances are scaled so that
-their median is that of a chi-square; a cell of under ``LEAST_CELL`` documents is estimated with the other
-small ones of its language, and those that are still few all together.
-
-Cases: a null text has no words and fails the base rules; null language or source is a cell of its own;
-texts that fail the base rules don't enter the estimates; a cell whose statistics don't vary gets the
-variance floor; repeated rows are judged alike; other columns are ignored.
+The estimate has ``STARTS`` deterministic starts, all about the medians: scatter by the median deviations alone,
+by the squashed (tanh) and by the spatial-sign covariance of what is scaled by them.  From each, concentration
+steps go on until no cell's determinant falls any more: centre and covariance of a subset, then the ``SUPPORT``
+share of documents nearest under them.  The start with the least determinant gives the cell's estimate.  Every
+step is one grouped aggregation of bounded state.  Distances are scaled so that their median is that of a
+chi-square; a cell of under ``least_cell`` documents is estimated with the other small ones of its language, and
+those that are still few all together (1: every cell by itself).
+
+Cases: a null text has no words and fails the base rules; null language or source is a cell of its own, apart
+from the empty string; texts that fail the base rules don't enter the estimates; a cell whose statistics don't
+vary gets the variance floor; repeated rows are judged alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from .common import staged
 BLANKS = " \t\n\x0b\x0c\r"
 #: Words of the windows that count as repeated.
 WINDOW = 8
-SUPPORT, STEPS, LEAST_CELL = 0.75, 4, 100
+SUPPORT, STARTS, LEAST_CELL = 0.75, 3, 100
+#: By how much a log determinant falls at least in a step that counts.
+FALL = 1e-3
 #: Added to the variances, on the scale of the transformed statistics: most texts repeat nothing, so that
 #: the last two would else reject any repeated line.
 FLOORS = (0.05**2, 0.05**2, 0.05**2, 0.1**2, 0.25**2)
@@ -89,14 +93,14 @@ def transformed() -> list[Column]:
     ]
 
 
-def _cells(rows: DataFrame) -> DataFrame:
+def _cells(rows: DataFrame, least_cell: int) -> DataFrame:
     """``rows`` with the cell in which each is estimated."""
-    lang, source = (F.coalesce(c, F.lit("")) for c in ("lang", "source"))
+    lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in ("lang", "source"))
     counts = staged(rows.groupBy(lang.alias("_l"), source.alias("_s")).count(), "counts")
-    few = F.col("count") < LEAST_CELL
+    few = F.col("count") < least_cell
     by_lang = counts.where(few).groupBy("_l").agg(F.sum("count").alias("_n"))
     counts = counts.join(by_lang, "_l", "left")
-    cell = F.when(~few, F.concat_ws("\x1f", "_l", "_s")).when(F.col("_n") >= LEAST_CELL, F.col("_l")).otherwise("\x1e")
+    cell = F.when(~few, F.concat_ws("\x1f", "_l", "_s")).when(F.col("_n") >= least_cell, F.col("_l")).otherwise("\x1e")
     cells = _small(staged(counts.select("_l", "_s", cell.alias("cell")), "cells"))
     return rows.withColumns({"_l": lang, "_s": source}).join(cells, ["_l", "_s"]).drop("_l", "_s")
 
@@ -105,61 +109,110 @@ def _x(i: int) -> str:
     return f"x{i}"
 
 
+def _sum(terms) -> Column:
+    return sum(terms, F.lit(0.0))
+
+
+KEY = ["cell", "start"]
+
+
 def _distances(rows: DataFrame, shape: DataFrame) -> DataFrame:
-    """``rows`` with d2, the squared distance under their cell's centre (m) and inverse factor (v)."""
-    parts = [sum((F.col(f"v{i}{j}") * (F.col(_x(j)) - F.col(f"m{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(FEATURES)]
-    joined = rows.join(_small(shape), "cell")
-    return joined.select(*rows.columns, sum((p * p for p in parts), F.lit(0.0)).alias("d2"))
+    """``rows`` with d2, the squared distance under the centre (m) and inverse factor (v) of their key."""
+    parts = [_sum(F.col(f"v{i}{j}") * (F.col(_x(j)) - F.col(f"m{j}")) for j in range(i + 1)) for i in range(FEATURES)]
+    key = [c for c in KEY if c in rows.columns]
+    joined = rows.join(_small(shape), key)
+    return joined.select(*rows.columns, _sum(p * p for p in parts).alias("d2"))
 
 
-def _shape(rows: DataFrame) -> DataFrame:
-    """Centre and the inverse of the covariance's Cholesky factor, per cell of ``rows``."""
+def _factored(out: DataFrame) -> DataFrame:
+    """The key, the centre, the inverse of the Cholesky factor of covariances c, and their log determinant."""
     n = range(FEATURES)
-    means = [F.avg(_x(i)).alias(f"m{i}") for i in n]
-    covs = [(F.covar_pop(_x(i), _x(j)) + (FLOORS[i] if i == j else 0.0)).alias(f"c{i}{j}") for i in n for j in range(i + 1)]
-    out = rows.groupBy("cell").agg(*means, *covs)
     for i in n:
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+            rest = F.col(f"c{i}{j}") - _sum(F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j))
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] / 100))) if i == j else rest / F.col(f"l{j}{j}"))
     for j in n:
         for i in range(j, FEATURES):
-            rest = F.lit(1.0) if i == j else -sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0))
+            rest = F.lit(1.0) if i == j else -_sum(F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i))
             out = out.withColumn(f"v{i}{j}", rest / F.col(f"l{i}{i}"))
-    return out.select("cell", *(f"m{i}" for i in n), *(f"v{i}{j}" for i in n for j in range(i + 1)))
+    logdet = 2 * _sum(F.log(F.col(f"l{i}{i}")) for i in n)
+    return out.select(*KEY, *(f"m{i}" for i in n), *(f"v{i}{j}" for i in n for j in range(i + 1)), logdet.alias("logdet"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and inverse median deviations as a first shape."""
+def _shape(rows: DataFrame) -> DataFrame:
+    """Centre and covariance of the rows of each key."""
     n = range(FEATURES)
-    medians = rows.groupBy("cell").agg(*(F.percentile_approx(_x(i), 0.5).alias(f"m{i}") for i in n))
-    medians = staged(medians, "medians")
-    off = rows.join(_small(medians), "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(_x(i)) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i in n))
-    scale = {f"v{i}{j}": 1 / F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i]) if i == j else F.lit(0.0) for i in n for j in range(i + 1)}
-    return medians.join(off.withColumns(scale), "cell").drop(*(f"s{i}" for i in n))
+    means = [F.avg(_x(i)).alias(f"m{i}") for i in n]
+    covs = [(F.covar_pop(_x(i), _x(j)) + (FLOORS[i] if i == j else 0.0)).alias(f"c{i}{j}") for i in n for j in range(i + 1)]
+    return _factored(rows.groupBy(*KEY).agg(*means, *covs))
 
 
-def outliers(stats: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame) -> DataFrame:
+    """The first shapes of each cell: ``STARTS`` scatters about the medians."""
+    n = range(FEATURES)
+    medians = staged(rows.groupBy("cell").agg(*(F.percentile_approx(_x(i), 0.5).alias(f"m{i}") for i in n)), "medians")
+    off = rows.join(_small(medians), "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(_x(i)) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i in n))
+    scales = off.select("cell", *(F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i]).alias(f"s{i}") for i in n))
+    centres = staged(medians.join(scales, "cell"), "centres")
+    z = [((F.col(_x(i)) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in n]
+    scaled = rows.join(_small(centres), "cell").select("cell", *z)
+    scaled = scaled.withColumn("_norm", F.sqrt(F.greatest(_sum(F.col(f"z{i}") * F.col(f"z{i}") for i in n), F.lit(1e-9))))
+
+    def products(start: int, of) -> list[Column]:
+        return [F.avg(of(i) * of(j)).alias(f"p{start}{i}{j}") for i in n for j in range(i + 1)]
+
+    found = scaled.groupBy("cell").agg(*products(1, lambda i: F.tanh(f"z{i}")), *products(2, lambda i: F.col(f"z{i}") / F.col("_norm")))
+
+    def scatter(start: int, i: int, j: int) -> Column:
+        own = F.lit(float(i == j)) if start == 0 else F.col(f"p{start}{i}{j}")
+        return (own * F.col(f"s{i}") * F.col(f"s{j}") + (FLOORS[i] if i == j else 0.0)).alias(f"c{i}{j}")
+
+    both = centres.join(found, "cell")
+    parts = [both.select("cell", F.lit(k).alias("start"), *(f"m{i}" for i in n), *(scatter(k, i, j) for i in n for j in range(i + 1))) for k in range(STARTS)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return _factored(staged(out, "starts"))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """The minimum-determinant shape of each cell of ``rows`` (cell and the transformed statistics)."""
+    every = rows.select("cell", *(_x(i) for i in range(FEATURES))).withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
+    shape = staged(_starts(rows), "shape")
+    best = None
+    while True:
+        near = _distances(every, shape)
+        edge = staged(near.groupBy(*KEY).agg(F.percentile_approx("d2", SUPPORT).alias("_edge")), "edge")
+        shape = staged(_shape(near.join(_small(edge), KEY).where("d2 <= _edge")), "shape")
+        if best is None:
+            best = shape
+            continue
+        fallen = shape.select(*KEY, "logdet").join(best.select(*KEY, F.col("logdet").alias("_least")), KEY).where(F.col("logdet") < F.col("_least") - FALL)
+        if fallen.isEmpty():
+            break
+        # determinants only fall, and not below that of the floors
+        fields = [c for c in shape.columns if c not in KEY]
+        both = best.unionByName(shape).groupBy(*KEY).agg(F.min_by(F.struct(*fields), "logdet").alias("b"))
+        best = staged(both.select(*KEY, "b.*"), "best")
+    return best.groupBy("cell").agg(F.min_by(F.struct(*(c for c in best.columns if c not in KEY)), F.struct("logdet", "start")).alias("b")).select("cell", "b.*")
+
+
+def outliers(stats: DataFrame, least_cell: int = LEAST_CELL) -> DataFrame:
     """``stats`` (with lang and source) with distance2, null for rows that fail the base rules."""
     own = stats.columns
-    rows = _cells(stats.where(~base_failed())).withColumns({_x(i): x for i, x in enumerate(transformed())})
+    rows = _cells(stats.where(~base_failed()), least_cell).withColumns({_x(i): x for i, x in enumerate(transformed())})
     rows = staged(rows, "cells")
-    shape = staged(_start(rows), "shape")
-    for _ in range(STEPS):
-        near = _distances(rows, shape)
-        edge = staged(near.groupBy("cell").agg(F.percentile_approx("d2", SUPPORT).alias("_edge")), "edge")
-        shape = staged(_shape(near.join(_small(edge), "cell").where("d2 <= _edge")), "shape")
-    near = _distances(rows, shape)
+    near = _distances(rows, staged(estimates(rows), "estimates"))
     middle = staged(near.groupBy("cell").agg(F.percentile_approx("d2", 0.5).alias("_median")), "middle")
     scaled = F.col("d2") * CHI_MEDIAN / F.greatest("_median", F.lit(1e-9))
     judged = near.join(_small(middle), "cell").select(*own, scaled.alias("distance2"))
     return judged.unionByName(stats.where(base_failed()).withColumn("distance2", F.lit(None).cast("double")))
 
 
-def quality_rules(docs: DataFrame, cut: float = CUT) -> DataFrame:
+def quality_rules(docs: DataFrame, cut: float = CUT, least_cell: int = LEAST_CELL) -> DataFrame:
     """doc_id, the statistics, base_failed, distance2 and kept for every row of ``docs``."""
     stats = staged(statistics(docs, "doc_id", "lang", "source"), "statistics")
     kept = ~base_failed() & (F.col("distance2") <= cut)
-    return outliers(stats).select(
+    return outliers(stats, least_cell).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), F.coalesce(kept, F.lit(False)).alias("kept"), "distance2"
     )
