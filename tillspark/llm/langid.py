@@ -3,10 +3,12 @@
 Each language has a model of ORDER-character strings inside words (lower-cased runs of letters between word
 ends).  The models share sorted arrays of string hashes; next to each hash stand, per language, the
 discounted probability of the string's last character and the weight of the shorter context.  A document
-gets the language of the lowest cross-entropy per character; whether that is low enough for the language is
-calibrated on the training rows (``accepted``).
+gets the language of the lowest cross-entropy per character; whether that is low enough for the language
+(``accepted``) is calibrated on other labelled rows than the models were learned from.
 
-Training takes at most ``TRAIN_DOCS`` documents of a language, those with the smallest hashes of their ids.
+Training takes at most ``TRAIN_DOCS`` documents of a language, those with the smallest hashes of their ids;
+every ``CALIBRATION``-th of them in that order is left out of the models and sets the limit (a language with fewer
+documents than that is always accepted).
 
 Cases: texts that are null or without a letter are `und` with score 0, as is every text when there is
 nothing to learn from; rows with a null language are never learned from; repeated rows are judged alike; an
@@ -27,15 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import BROADCAST_IDS, staged
 from .hashing import mix
 from .tokens import LONGEST_CACHED, slices
 
 ORDER = 4
 TRAIN_DOCS = 2000
 DISCOUNT = 0.75
-#: Characters that speak for a language at most; the scores of longer texts don't grow further.
-EVIDENCE = 60
+CALIBRATION = 10
+#: How much of a character's bits count in a score, as neighbouring characters depend on each other.
+EVIDENCE = 0.25
 #: Share of a language's training documents that stay accepted.
 ACCEPTED = 0.999
 CACHE_WORDS = 250_000
@@ -189,13 +192,16 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Models | None:
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     # ids alone are ranked, few more than are taken, and looked up in the table
     ranked = smallest(labelled.select("doc_id", "lang"), train_docs).withColumn("n", F.row_number().over(order))
-    chosen = staged(ranked.where(F.col("n") <= train_docs).drop("n", "hash"), "chosen")
-    sample = staged(labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text"), "sample")
+    chosen = staged(ranked.where(F.col("n") <= train_docs).select("doc_id", "lang", (F.col("n") % CALIBRATION == 0).alias("apart")), "chosen")
+    if chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
+    both = staged(labelled.join(chosen, ["doc_id", "lang"]).select("lang", "text", "apart"), "sample")
+    sample = both.where("NOT apart")
     counts = sample.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
     models = build(counts)
-    scored = predict(sample.select(F.lit(0).cast("long").alias("doc_id"), "text", "lang"), models, "lang").where("lang_pred = lang")
+    scored = predict(both.where("apart").select(F.lit(0).cast("long").alias("doc_id"), "text", "lang"), models, "lang").where("lang_pred = lang")
     limits = scored.groupBy("lang").agg(F.percentile_approx("entropy", ACCEPTED, 10_000).alias("limit")).collect()
     models.limits = {r["lang"]: r["limit"] for r in limits}
     return models
@@ -219,7 +225,7 @@ def predict(docs: DataFrame, models: Models | None, *keep: str) -> DataFrame:
                 rate = bits / np.maximum(sizes, 1)[:, None]
                 best = rate.argmin(axis=1)
                 lead = rate.min(axis=1)
-                odds = np.exp2(-(rate - lead[:, None]) * np.minimum(sizes, EVIDENCE)[:, None])
+                odds = np.exp2(-(rate - lead[:, None]) * EVIDENCE * sizes[:, None])
                 some = sizes > 0
                 score = np.where(some, 1 / odds.sum(axis=1), 0.0)
                 names = pa.array([m.langs[b] if s else "und" for b, s in zip(best, some, strict=True)], pa.string())
