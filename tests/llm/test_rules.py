@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -60,27 +61,51 @@ def test_rules_and_suppression(spark):
     assert len(licenses.rules()) > 200
 
 
-def examples(regex):
-    """Strings that a rule's regex matches: its groups left out or in, each alternative, optional letters."""
-    if m := re.search(r"\(\?:([^()]*)\)(\??)", regex):
-        choices = m[1].split("|") + [""] * bool(m[2])
-        return [x for c in choices[:3] + choices[-1:] for x in examples(regex[: m.start()] + c + regex[m.end() :])]
-    if m := re.search(r"\[(\w)\w\]", regex):
-        return examples(regex[: m.start()] + m[1] + regex[m.end() :])
-    if m := re.search(r"(.)\?", regex):
-        return [x for c in (m[1], "") for x in examples(regex[: m.start()] + c + regex[m.end() :])]
-    return [regex]
+def example(regex, r):
+    """A string that a rule's regex matches: one of each group's alternatives, optional parts in or out."""
+    while m := re.search(r"\(\?:([^()]*)\)(\?|\{\d+,\d+\})?", regex):
+        regex = regex[: m.start()] + r.choice(m[1].split("|") + [""] * (m[2] == "?")) + regex[m.end() :]
+    regex = re.sub(r"\[(\w)(\w)\]", lambda m: r.choice(m.groups()), regex).replace("\\S+", "some")
+    return re.sub(r"(.)\?", lambda m: r.choice([m[1], ""]), regex)
 
 
 def test_every_rule_is_gated_rightly(spark):
     """What a rule can match holds its keyword and passes the prefilter."""
-    shown = [(r.keyword, x) for r in licenses.rules() for x in examples(r.regex)[:60] if re.fullmatch(r.regex, x)]
-    assert len({k for k, _ in shown}) > 50
-    table = spark.createDataFrame(shown, "keyword string, text string")
+    r = random.Random(1)
+    shown = {(rule.keyword, x) for rule in licenses.rules() for x in (example(rule.regex, r) for _ in range(40)) if re.fullmatch(rule.regex, x)}
+    assert len({k for k, _ in shown}) > 80
+    table = spark.createDataFrame(sorted(shown), "keyword string, text string")
     missed = table.where(~F.contains("text", "keyword") | ~F.col("text").rlike(licenses.PREFILTER))
     assert missed.collect() == []
 
 
+def brute_labels(text):
+    """Labels by every rule over the words, without gates, and by comparing all pairs of matches."""
+    norm = " " + " ".join(WORD.findall(text.translate(str.maketrans(licenses.UPPER, licenses.LOWER)))) + " "
+    found = []
+    for rule in licenses.rules():
+        for m in re.finditer(f"(?<= ){rule.regex}(?= )", norm):
+            first = norm[: m.start()].count(" ") - 1
+            found.append((first, first + m[0].count(" "), rule.priority, rule.label, rule.base))
+    key = lambda m: (m[0], -m[1], -m[2], m[3])
+    free = {m for m in found if m[4] or not any(key(o) < key(m) and o[0] <= m[0] and o[1] >= m[1] and o[2] >= m[2] for o in found)}
+    return ",".join(sorted({m[3] for m in free}))
+
+
+def test_labels_against_brute_force(spark):
+    r = random.Random(3)
+    rules = licenses.rules()
+    texts = [" ".join(x for _ in range(r.randint(1, 5)) for x in (example(r.choice(rules).regex, r), r.choice(["and", "the", "", "license", "2.0."]))) for _ in range(150)]
+    for text, found in zip(texts, scan(spark, texts), strict=True):
+        assert found.labels == brute_labels(text), text
+
+
+def test_many_matches_in_one_text(spark):
+    n = 40_000
+    row = scan(spark, ["under the MIT License " * n])[0]
+    assert (row.n_base, row.first_word, row.last_word, row.labels) == (n, 0, 4 * (n - 1), "mit")
+
+
 # Quality rules.
 
 
@@ -119,15 +144,54 @@ def test_outliers_and_cases(spark, docs):
 def test_shape_is_the_inverse_factor(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, quality.FEATURES)) @ rng.normal(size=(quality.FEATURES, quality.FEATURES))
-    frame = spark.createDataFrame(pd.DataFrame(x, columns=[f"x{i}" for i in range(quality.FEATURES)]).assign(cell="c"))
+    frame = spark.createDataFrame(pd.DataFrame(x, columns=[f"x{i}" for i in range(quality.FEATURES)]).assign(cell="c", start=0))
     cov = np.cov(x.T, bias=True) + np.diag(quality.FLOORS)
     off = x - x.mean(axis=0)
     expected = np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)
-    found = quality._distances(frame, quality._shape(frame)).toPandas()
+    shape = quality._shape(frame)
+    assert math.isclose(shape.first().logdet, np.linalg.slogdet(cov)[1], abs_tol=1e-9)
+    found = quality._distances(frame, shape).toPandas()
     order = np.argsort(x[:, 0])
     assert np.allclose(found.sort_values("x0")["d2"].to_numpy(), expected[order])
 
 
+def brute_determinant(x, support):
+    """The least log determinant of many random starts with concentration steps."""
+    rng, best, h = np.random.default_rng(4), math.inf, int(np.ceil(support * len(x)))
+    for _ in range(60):
+        part = x[rng.choice(len(x), quality.FEATURES + 1, replace=False)]
+        last = math.inf
+        while True:
+            cov = np.cov(part.T, bias=True) + np.diag(quality.FLOORS)
+            if len(part) == h:  # not the start
+                if np.linalg.slogdet(cov)[1] >= last - 1e-9:
+                    break
+                last = np.linalg.slogdet(cov)[1]
+            off = x - part.mean(axis=0)
+            part = x[np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off), kind="stable")[:h]]
+        best = min(best, last)
+    return best
+
+
+def test_estimates_reach_the_minimum_determinant(spark):
+    rng = np.random.default_rng(2)
+    tables = []
+    for cell, outlying in (("clean", 0), ("spread", 60), ("lump", 80)):
+        x = rng.normal(size=(400, quality.FEATURES)) @ rng.normal(size=(quality.FEATURES, quality.FEATURES))
+        x[:outlying] = x[:outlying] * 8 if cell == "spread" else x[:outlying] * 0.1 + 6
+        tables.append(pd.DataFrame(x, columns=[f"x{i}" for i in range(quality.FEATURES)]).assign(cell=cell))
+    shapes = {r.cell: r.logdet for r in quality.estimates(spark.createDataFrame(pd.concat(tables))).collect()}
+    for t in tables:
+        assert abs(shapes[t["cell"].iloc[0]] - brute_determinant(t.drop(columns="cell").to_numpy(), quality.SUPPORT)) < 0.05
+
+
+def test_null_language_is_a_cell_apart_from_the_empty_string(spark):
+    rows = [(lang, "s", 30, 150, 0, 0, 0) for lang in (None, "", "en") for _ in range(3)]
+    stats = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    assert quality._cells(stats, 1).select("cell").distinct().count() == 3
+    assert quality._cells(stats, 100).select("cell").distinct().count() == 1
+
+
 # Languages.
 
 
@@ -138,7 +202,7 @@ def test_kneser_ney_sums_to_one():
     seen = sorted({g[-1] for g in counts["gram"]}) + ["q"]
     for context in ("\x02\x02\x02", "\x02\x02a", "\x02ab", "zzz"):
         total = 0.0
-        for c in [*seen, ""]:
+        for c in seen:
             p = models.floor
             codes = [np.array([ord(x)]) for x in context + c]
             for n in range(1, langid.ORDER + 1):
