@@ -80,9 +80,12 @@ def exact_groups(landing: DataFrame, path: str, files_per_batch: int = 1000, sta
     spark = landing.sparkSession
     state = state or fresh_path(spark, "stream")
     session = spark.newSession()
-    for k, v in (spark.conf.getAll | STATE).items():
+    for k, v in spark.conf.getAll.items():
         if session.conf.isModifiable(k):
             session.conf.set(k, v)
+    # not asked whether these are modifiable: the store's own settings are no registered ones
+    for k, v in STATE.items():
+        session.conf.set(k, v)
     stream = session.readStream.schema(landing.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).drop("text")
     groups = stream.groupBy("digest").agg(best(), F.count("*").alias("group_size"))
 
