@@ -195,12 +195,14 @@ def rules() -> list[Rule]:
     return out
 
 
-#: Every rule's match holds one of these.
+#: Every rule's match holds one of these words or, for rules without a telling word, pairs of words.
+PAIRS = [
+    "deal in", "no attribution", "disclaims all", "nor the", "advertising materials", "altered source", "anyone is", "verbatim copies",
+    "extent possible", "copyright restrictions", "confidential information", "written consent", "you agree", "not evil", "as perl", "public domain",
+]
 PREFILTER = (
-    "(?i)licen[cs]|spdx|hereby|permission|redistribution|unencumbered|wtfpl|fuck|cc0|creative|reserved|proprietary|prohibited|bsd|event"
-    "|disclaims|nor[^a-z]|advertising|compliance|subject|accompanying|altered|anyone|verbatim|extent|restrictions|confidential|written"
-    "|agree|shareware|freeware|evil|perl|attribution|without"
-    f"|public{SEPARATOR}+domain|(?<![0-9A-Za-z])cc{SEPARATOR}+by"
+    "(?i)licen[cs]|spdx|hereby|permission|redistribution|unencumbered|wtfpl|fuck|cc0|creative|reserved|proprietary|prohibited|bsd|event|shareware|freeware"
+    f"|(?<![0-9A-Za-z])(?:{'|'.join(p.replace(' ', SEPARATOR + '+') for p in ['cc by', *PAIRS])})"
 )
 
 
