@@ -144,3 +144,40 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/results_q3").count() == 2
     with pytest.raises(ValueError):
         write_results({5: totals}, str(tmp_path))
+
+
+def test_totals_keep_small_and_large_amounts(spark):
+    def tpv(*amounts):
+        return semester_stores(transactions(spark, *(("s", "u", a, at("2024-01-01 00:00:00")) for a in amounts))).first().tpv
+
+    assert tpv(*[0.004] * 1000) == 4.0
+    assert tpv(1e16, 2e16) == 3e16 and tpv(1e30, 0.5) == 1e30
+    assert tpv(0.1, 0.2) == 0.3
+    assert tpv(float("nan"), 1.0) != tpv(float("nan"), 1.0)
+
+
+@pytest.mark.parametrize("text", ["2024-07-01", "2024", "2024-07-01T07:00:00", "2024-13-01 07:00:00", ""])
+def test_a_timestamp_has_a_date_and_a_time(spark, text):
+    assert clean(lines(spark, f"t,7,3,1.5,4.5,{text}"), "transaction_items").first().created_at is None
+
+
+def test_blank_names_go_and_the_last_line_wins(spark, tmp_path):
+    from tillspark.sources.files import scan_lines
+
+    (tmp_path / "menu_a.csv").write_text("id,name,x\n1,Tea,x\n2,  ,x\n1,Chai ,x\n3,Zen,x\n")
+    (tmp_path / "menu_b.csv").write_text("id,name,x\n3,Ale,x\n\n")
+    menu = clean(scan_lines(spark, str(tmp_path), "menu", order=True), "menu")
+    left = spark.createDataFrame([("1",), ("2",), ("3",)], "item_id string")
+    assert sorted(r.item_name for r in lookup(left, menu, "items").collect()) == ["Ale", "Chai"]
+    with pytest.raises(Exception, match="under 2 fields"):
+        clean(scan_lines(spark, str(tmp_path), "menu", blank=True), "menu").collect()
+    with pytest.raises(FileNotFoundError):
+        scan_lines(spark, str(tmp_path), "[menu]")
+
+
+def test_json_both_ways(spark):
+    from tillspark.sources.sinks import from_semester_json
+
+    totals = spark.createDataFrame([("2024-H1", "b", 1.5), ("2024-H1", "a", 2.0)], "semester string, store_id string, tpv double")
+    assert sorted(map(tuple, from_semester_json(semester_json(totals)).collect())) == sorted(map(tuple, totals.collect()))
+    assert from_semester_json(lines(spark, "no json", None).withColumnRenamed("value", "json")).count() == 0

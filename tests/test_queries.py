@@ -22,7 +22,7 @@ def rows(frame):
     return names, sorted(map(str, frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.queries() if n.startswith(("q", "stream", "clean", "join", "merge"))])
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n.startswith(("q", "stream", "clean", "join", "merge", "group_small", "timestamps", "best_seller"))])
 def test_query_equals_sql(spark, tables, sf, name):
     assert rows(catalog.queries()[name](spark, sf).toPandas()) == rows(tables.sql(catalog.oracle_sql()[name]).df())
 
@@ -64,4 +64,8 @@ def test_questions_over_csv(spark, tmp_path):
         scan_lines(spark, str(tmp_path / "menu"), "nothing")
     with pytest.raises(ValueError, match="unknown tables"):
         selected_tables("menu,cities")
-    assert cli.main
+    data_dir, out = str(tmp_path), str(tmp_path / "out")
+    cli.main([data_dir, out, "--tables", "transactions,menu"])
+    assert spark.read.text(f"{out}/results_q1").count() == 1
+    assert spark.read.text(f"{out}/results_q3").count() == 2
+    assert not (tmp_path / "out" / "results_q2").exists()

@@ -20,7 +20,8 @@ def to_double(text: Column) -> Column:
 
 
 def to_timestamp(text: Column) -> Column:
-    return text.try_cast("timestamp_ntz")
+    """A date and a time with a space between; a date or a year alone is no timestamp."""
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}$"), text.try_cast("timestamp_ntz"))
 
 
 def before_point(text: Column) -> Column:
@@ -28,6 +29,12 @@ def before_point(text: Column) -> Column:
     return F.nullif(F.element_at(F.split(text, r"\."), 1), F.lit(""))
 
 
-def money(amount: Column) -> Column:
-    """Amounts as decimals, so that sums don't depend on the order of rows."""
-    return amount.cast("decimal(18,2)")
+def total(amount: Column) -> Column:
+    """The sum of amounts (double) as a double.
+
+    Amounts are added as decimals, so that the order of rows doesn't matter; those that no decimal of ten
+    places holds (1e18 and more, not a number) are added apart.
+    """
+    exact = amount.try_cast("decimal(28,10)")
+    rest = F.when(exact.isNull(), amount)
+    return F.coalesce(F.sum(exact).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(rest), F.lit(0.0))

@@ -12,22 +12,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import semester, year_month
-from ..functions.parsing import money
+from ..functions.parsing import total
 
 
 def month_items(items: DataFrame, *by: str) -> DataFrame:
     """Quantity and profit per month and item."""
     good = items.where("quantity IS NOT NULL AND subtotal IS NOT NULL AND created_at IS NOT NULL")
-    keyed = good.select(*by, year_month(F.col("created_at")).alias("year_month"), "item_id", "quantity", money(F.col("subtotal")).alias("subtotal"))
-    sums = keyed.groupBy(*by, "year_month", "item_id").agg(F.sum("quantity").alias("total_quantity"), F.sum("subtotal").cast("double").alias("total_profit"))
+    keyed = good.select(*by, year_month(F.col("created_at")).alias("year_month"), "item_id", "quantity", "subtotal")
+    sums = keyed.groupBy(*by, "year_month", "item_id").agg(F.sum("quantity").alias("total_quantity"), total(F.col("subtotal")).alias("total_profit"))
     return sums
 
 
 def semester_stores(transactions: DataFrame, *by: str) -> DataFrame:
     """Total payment value per semester and store."""
     good = transactions.where("final_amount IS NOT NULL AND created_at IS NOT NULL")
-    keyed = good.select(*by, semester(F.col("created_at")).alias("semester"), "store_id", money(F.col("final_amount")).alias("amount"))
-    return keyed.groupBy(*by, "semester", "store_id").agg(F.sum("amount").cast("double").alias("tpv"))
+    keyed = good.select(*by, semester(F.col("created_at")).alias("semester"), "store_id", "final_amount")
+    return keyed.groupBy(*by, "semester", "store_id").agg(total(F.col("final_amount")).alias("tpv"))
 
 
 def store_users(transactions: DataFrame, *by: str) -> DataFrame:
@@ -42,8 +42,7 @@ def merged(parts: list[DataFrame], keys: list[str], sums: list[str]) -> DataFram
     for part in parts[1:]:
         out = out.unionByName(part)
     kinds = dict(out.dtypes)
-    total = {c: F.sum(money(F.col(c))).cast("double") if kinds[c] == "double" else F.sum(c) for c in sums}
-    return out.groupBy(*keys).agg(*(x.alias(c) for c, x in total.items()))
+    return out.groupBy(*keys).agg(*((total(F.col(c)) if kinds[c] == "double" else F.sum(c)).alias(c) for c in sums))
 
 
 AGGREGATES: dict[str, Callable[..., DataFrame]] = {"yearmonth": month_items, "semester": semester_stores, "store": store_users}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import before_point, to_double, to_long, to_timestamp
+from ..sources.files import ORDER
 from ..sources.schemas import LEAST_FIELDS
 
 
@@ -32,16 +33,17 @@ def clean(lines: DataFrame, table: str, bad_rows: str = "fail") -> DataFrame:
     """The columns of ``table`` that are used, from ``lines`` (value).
 
     Fields behind the known ones are ignored; a line with too few raises, or is left out if ``bad_rows`` is
-    "drop".  A table without a cleaner passes as it is.
+    "drop".  A table without a cleaner passes as it is.  The lines' place, if they have one, is kept.
     """
     if table not in COLUMNS:
         return lines
     least = LEAST_FIELDS[table]
-    fields = lines.select(F.split("value", ",", -1).alias("_f"))
+    place = [ORDER] if ORDER in lines.columns else []
+    fields = lines.select(F.split("value", ",", -1).alias("_f"), *place)
     enough = F.size("_f") >= least
     if bad_rows == "drop":
         fields = fields.where(enough)
     else:
         failed = F.raise_error(F.concat(F.lit(f"{table}: a line has under {least} fields: "), F.concat_ws(",", "_f")))
-        fields = fields.select(F.when(enough, F.col("_f")).otherwise(failed).alias("_f"))
-    return fields.select(*COLUMNS[table](lambda i: F.get("_f", F.lit(i))))
+        fields = fields.select(F.when(enough, F.col("_f")).otherwise(failed).alias("_f"), *place)
+    return fields.select(*COLUMNS[table](lambda i: F.get("_f", F.lit(i))), *place)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import ORDER
+
 
 def last_wins(side: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
-    """One row per trimmed key: the one with the largest ``order``, else the largest value."""
-    rows = side.select(F.trim(key).alias(key), value, *([order] if order else []))
+    """One row per trimmed key with its trimmed value: the one that comes last by ``order`` (else by the place
+    of its line, else the largest value)."""
+    order = order or (ORDER if ORDER in side.columns else None)
+    rows = side.select(F.trim(key).alias(key), F.trim(value).alias(value), *([order] if order else []))
     best = F.max_by(value, order) if order else F.max(value)
     return rows.groupBy(key).agg(best.alias(value))
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.calendar import semester, time_parts, year_month
+from ..functions.parsing import to_timestamp
 from ..operators import aggregates, cleaners, filters, joins, ranking
 from ..shared import fresh_path
 from ..sources import adapters
 from ..sources.files import scan_parquet, stream_parquet
-from ..sources.sinks import as_lines, semester_json
+from ..sources.sinks import as_lines, from_semester_json, semester_json
 from ..streaming import jobs
 from . import questions
 
@@ -177,6 +178,26 @@ def group_semester_store_per_client(spark: SparkSession, sf_dir: str) -> DataFra
     return aggregates.aggregate(rows, "semester", "client_id")
 
 
+#: Amounts of less than a cent, and some above 1e18, in binary fractions: sums of either kind are exact.
+ODD_TX = "SELECT event_type || CASE WHEN user_id % 7 = 0 THEN '-large' ELSE '' END AS store_id, CASE WHEN user_id % 7 = 0 THEN 1152921504606846976.0 ELSE (event_id % 1000) / 1024.0 END AS final_amount, ts AS created_at FROM events"
+
+
+@query(f"SELECT {SEMESTER} AS semester, store_id, sum(CAST(final_amount AS DOUBLE)) AS tpv FROM ({ODD_TX}) GROUP BY 1, 2")
+def group_small_and_large_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    large = F.col("user_id") % 7 == 0
+    store = F.concat("event_type", F.when(large, "-large").otherwise(""))
+    amount = F.when(large, F.lit(2.0**60)).otherwise((F.col("event_id") % 1000) / F.lit(1024.0))
+    return aggregates.semester_stores(scan_parquet(spark, sf_dir, "events").select(store.alias("store_id"), amount.alias("final_amount"), F.col("ts").alias("created_at")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN date_trunc('second', ts) END AS created_at FROM events")
+def timestamps_need_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date or a year alone is no timestamp."""
+    kind = F.col("event_id") % 3
+    text = F.when(kind == 0, _stamp("ts")).when(kind == 1, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.date_format("ts", "yyyy"))
+    return scan_parquet(spark, sf_dir, "events").select("event_id", to_timestamp(text).alias("created_at"))
+
+
 @query(TOTALS.replace(f" WHERE {YEARS_SQL}", ""))
 def merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.order_transactions(spark, sf_dir)
@@ -196,6 +217,15 @@ def top_profit_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_earners(_groups(spark, sf_dir))
 
 
+CLIENT_ITEMS = f"SELECT l_returnflag AS client_id, {MONTH} AS year_month, item_id, sum(quantity) AS n FROM (SELECT l_returnflag, CAST(l_partkey AS VARCHAR) AS item_id, CAST(l_quantity AS BIGINT) AS quantity, l_shipdate AS created_at FROM lineitem) WHERE {YEARS_SQL} GROUP BY 1, 2, 3"
+
+
+@query(f"SELECT client_id, year_month, item_id, CAST(n AS BIGINT) AS total_quantity, CAST(0 AS DOUBLE) AS total_profit FROM (SELECT *, row_number() OVER (PARTITION BY client_id, year_month ORDER BY n DESC, CAST(item_id AS BIGINT)) AS r FROM ({CLIENT_ITEMS})) WHERE r = 1")
+def best_seller_per_month_per_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = adapters.as_items(scan_parquet(spark, sf_dir, "lineitem"), F.col("l_returnflag").alias("client_id"))
+    return ranking.best_sellers(aggregates.month_items(filters.filter_year(lines, 1996, 1997), "client_id"), "client_id")
+
+
 @query(TOP)
 def topk_users_per_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_buyers(_counts(spark, sf_dir), 3)
@@ -279,6 +309,11 @@ def q3_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semester_json(q3_tpv(spark, sf_dir))
 
 
+@query(f"SELECT semester, store_id, round(tpv, 6) AS tpv FROM ({TOTALS})")
+def q3_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_semester_json(q3_json(spark, sf_dir))
+
+
 @query(f"SELECT semester || ',' || store_id || ',' || printf('%.6f', tpv) AS line FROM ({TOTALS})")
 def lines_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_lines(q3_tpv(spark, sf_dir))

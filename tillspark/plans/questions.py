@@ -54,10 +54,11 @@ def buyers_birthdays(transactions: DataFrame, stores: DataFrame, users: DataFram
 
 
 def run_all(tables: dict[str, DataFrame], p: Params) -> dict[int, DataFrame]:
-    """All four by number, from the cleaned tables by name."""
-    return {
-        1: large_transactions(tables["transactions"], p),
-        2: month_products(tables["transaction_items"], tables["menu"], p),
-        3: semester_totals(tables["transactions"], p),
-        4: buyers_birthdays(tables["transactions"], tables["store"], tables["users"], p).drop("rank"),
+    """By number, those of the four whose tables are among the cleaned ``tables`` (by name)."""
+    asked = {
+        1: (large_transactions, ["transactions"]),
+        2: (month_products, ["transaction_items", "menu"]),
+        3: (semester_totals, ["transactions"]),
+        4: (lambda *x: buyers_birthdays(*x).drop("rank"), ["transactions", "store", "users"]),
     }
+    return {n: f(*(tables[t] for t in names), p) for n, (f, names) in asked.items() if tables.keys() >= set(names)}

@@ -11,12 +11,15 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests on one machine) is a local folder made, and set as checkpoint folder.
+    Where it is unset, a local folder is made and set as checkpoint folder, but only if all of Spark runs on
+    this machine.
     """
     context = spark.sparkContext
     if found := context.getConf().get("spark.checkpoint.dir"):
         return found
     if not (found := context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         found = context.getCheckpointDir()
     return found

@@ -23,6 +23,14 @@ def semester_json(totals: DataFrame) -> DataFrame:
     return rows.select("semester", F.to_json(F.map_from_arrays(F.array("semester"), F.array("rows.line"))).alias("json"))
 
 
+def from_semester_json(rows: DataFrame) -> DataFrame:
+    """semester, store_id and tpv from the JSON of ``semester_json``; a text that is no such object has none."""
+    found = rows.select(F.explode(F.from_json("json", "map<string, array<string>>")).alias("semester", "_entries"))
+    entry = found.select("semester", F.explode("_entries").alias("_entry"))
+    fields = F.split("_entry", ",", -1)
+    return entry.select("semester", F.get(fields, F.lit(0)).alias("store_id"), F.get(fields, F.lit(1)).try_cast("double").alias("tpv"))
+
+
 def write_lines(lines: DataFrame, path: str) -> None:
     """Replaces what is at ``path`` by the lines, as text files."""
     lines.select(F.col(lines.columns[0]).alias("value")).write.mode("overwrite").text(path)
