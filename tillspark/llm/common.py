@@ -1,35 +1,16 @@
-"""Shared folder, staged tables and table readers of the text operators."""
+"""Staged tables and table readers of the text operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import fresh_path
+
 #: Up to so many document ids (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset (tests on one machine) is a local folder made, and set as checkpoint folder.
-    """
-    context = spark.sparkContext
-    if found := context.getConf().get("spark.checkpoint.dir"):
-        return found
-    if not (found := context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-        found = context.getCheckpointDir()
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
     path = path or fresh_path(df.sparkSession, name)
