@@ -269,7 +269,9 @@ def test_sum_of_squares_is_the_sum_over_pairs():
 def test_classifier(spark, docs, sf):
     table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = fm.quality_scores(table, labels).join(labels, "doc_id", "left").collect()
-    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    # rows that were never learned from
+    good, bad = ([r.score for r in rows if r.held_out and r.quality == q] for q in (1, 0))
+    assert len(good) > 5 and len(bad) > 1
     assert len(rows) == table.count() and np.mean([g > b for g in good for b in bad]) > 0.9
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     shown = spark.createDataFrame([(0, 1), (7, 0), (99, 1), (None, 0), (8, None)], "doc_id long, quality int")

@@ -1,15 +1,15 @@
 """Operator 4: quality classifier, a factorisation machine.
 
-A text's features are its hashed distinct words (one field), and statistics of its structure and its length
-(the other).  The machine scores them with a weight each and a low-rank weight for every pair, in linear time
+A text's features are its hashed distinct words, statistics of its structure and its length, and metadata:
+the number of characters that its row states, and whether it states any (language, source and id are never read).  The machine scores them with a weight each and a low-rank weight for every pair, in linear time
 by the sum-of-squares identity: the pairs of a factor sum to half of (sum of v*x)**2 - sum of (v*x)**2.
 
 It is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the smallest hashes of their ids, in one task
 (some megabytes of features), and applied to every row.
 
 Cases: a null or empty text is scored by its (zero) statistics; null labels aren't learned from; with no
-labelled row every score is 0.5; repeated rows are scored alike; an empty table gives an empty result; other
-columns are never read.
+labelled row every score is 0.5; a table without n_chars, or a null or unreadable one, states none; repeated
+rows are scored alike; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -37,10 +37,10 @@ _KINDS[3, [ord(c) for c in "#*$%&|<>@_=+~^{}[]\\/"]] = True
 _KINDS[4, 128:] = True
 _KINDS[5, [ord(c) for c in "!?"]] = True
 _KINDS[6, 10] = True
-STATS = 7 + 6
+STATS = 7 + 6 + 2
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+def features(texts: pa.Array, n_chars: pa.Array | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Statistics of each text, and the hashes (BITS bits) of its distinct words, A-Z lower-cased."""
     data, offsets = flat(texts)
     starts, ends, first = words(data, offsets)
@@ -49,6 +49,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     size = np.maximum(np.diff(offsets), 1).astype(float)
     n_words = np.diff(first)
     stats = np.zeros((n, STATS))
+    stated = np.full(n, np.nan) if n_chars is None else n_chars.to_numpy(zero_copy_only=False).astype(float)
+    stats[:, 13] = np.log1p(np.clip(np.nan_to_num(stated, nan=0.0, posinf=0.0), 0, None))
+    stats[:, 14] = np.isnan(stated)
     for k, kind in enumerate(_KINDS):
         sums = np.concatenate([[0], np.cumsum(kind[data])])
         stats[:, k] = np.sqrt((sums[offsets[1:]] - sums[offsets[:-1]]) / size)
@@ -132,13 +135,18 @@ class Machine:
                 self.bias -= RATE * gb / np.sqrt(square_b)
 
 
+def _inputs(docs: DataFrame) -> DataFrame:
+    stated = F.col("n_chars").cast("string").try_cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), stated.alias("n_chars"))
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
         for part in slices(batch.column(0), 2_000_000):
-            stats, distinct = features(part)
+            stats, distinct = features(part, batch.column(1).slice(at, len(part)))
             rows = [x.tobytes() for x in stats], [x.astype("<u4").tobytes() for x in distinct]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in rows), batch.column(1).slice(at, len(part))], ["stats", "words", "y"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.binary()) for x in rows), batch.column(2).slice(at, len(part))], ["stats", "words", "y"])
             at += len(part)
 
 
@@ -163,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
     ids = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("double").alias("y"))
     chosen = ids.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(train_rows)
     chosen = staged(chosen, "chosen")  # bounded by train_rows
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")
+    sample = _inputs(docs).join(F.broadcast(chosen), "doc_id").select("text", "n_chars", "y")
     rows = staged(sample.mapInArrow(_sample, "stats binary, words binary, y double"), "sample")
     found = rows.coalesce(1).mapInArrow(_fit, "model binary").collect()
     if not found:
@@ -187,11 +195,11 @@ def classify(docs: DataFrame, machine: Machine | None, threshold: float = 0.3) -
         for batch in batches:
             at = 0
             for part in slices(batch.column(1), 2_000_000):
-                score = shared.value.probability(*features(part))
+                score = shared.value.probability(*features(part, batch.column(2).slice(at, len(part))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
                 at += len(part)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return _inputs(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
