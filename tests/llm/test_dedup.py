@@ -205,7 +205,7 @@ def spans_of(df, **more):
     return {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix.remove_repeats(df, **more).collect()}
 
 
-@pytest.mark.parametrize("group", [suffix.GROUP_CONTEXTS, 1])
+@pytest.mark.parametrize("group", [suffix.GROUP_CONTEXTS, 3, 1])
 def test_remove_repeats(docs, texts, group):
     assert spans_of(docs, group_contexts=group) == brute_spans(texts, 100)
 

@@ -4,15 +4,17 @@ A byte goes if it is covered by a ``length``-byte string that also starts earlie
 smaller id, or further left in its own.  Matches stay within documents; all is judged on the input.
 
 1. Anchors.  Every ``length``-byte string belongs to the leftmost minimum among the hashes of its
-   ``GRAM``-byte substrings, so equal strings meet at equal anchors.  The strings of one anchor follow each
-   other; together they are its context.
-2. Contexts meet by the anchor's hash.  Of equal contexts all but the first are repeats throughout (those
-   within a task's slice never meet others).  Anchors with several different contexts go on, one
-   representative of each context.
+   substrings of ``gram(length)`` bytes, so equal strings meet at equal anchors.  The strings of one anchor
+   follow each other; together they are its context.
+2. Contexts meet by the anchor's hash.  Of equal contexts (equal 128-bit BLAKE2b digests) all but the first
+   are repeats throughout (those within a task's slice never meet others).  Anchors with several different
+   contexts go on, one representative of each context.
 3. Representatives of an anchor are indexed together (see ``rindex``): the task streams their contexts
    through the index, and marks strings whose match of ``length`` bytes lies in an interval of the
-   transform whose first occurrence is elsewhere and earlier.  Anchors with more than ``GROUP_CONTEXTS``
-   contexts are dealt out string by string instead.
+   transform whose first occurrence is elsewhere and earlier.
+4. An anchor of more than ``GROUP_CONTEXTS`` contexts is dealt out to parts of about that size, each indexed
+   on its own.  A part marks all but the first of its equal strings, and gives the bytes of those it didn't
+   mark; of equal ones among these (one a part at most) all but the first are marked too.
 
 Cases: a null or empty text has no bytes and stays; rows that repeat an id are one document (equal places
 are no repeats of each other); rows with a null id are left as they are; an empty table gives an empty
@@ -31,17 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_id, staged
-from .hashing import flat, mix, powers, prefix_sums, span_hash
+from .common import BROADCAST_IDS, by_id, staged
+from .hashing import flat, mix, powers, prefix_sums
 from .rindex import RunIndex, equal_prefixes, suffix_order
 from .tokens import slices
 
-#: Bytes of the substrings whose hashes make anchors.
-GRAM = 24
 #: Bytes of contexts that a task indexes at once.
 INDEX_BYTES = 1_000_000
-#: Contexts of one anchor that are indexed together.
-GROUP_CONTEXTS = 20_000
+#: Contexts of one anchor that are indexed together, about; more are dealt out to parts.
+GROUP_CONTEXTS = 1_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -54,15 +54,29 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
     return of(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
+def gram(length: int) -> int:
+    """Bytes of the substrings whose hashes make anchors: longer ones make fewer different contexts meet, but
+    more anchors."""
+    return 2 * length // 5
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The 128-bit digests of spans of ``data``, two numbers each."""
+    raw = data.tobytes()
+    found = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Document number, first and last byte of the context, and the hashes of anchor and context, of every
+    """Document number, first and last byte of the context, the anchor's hash and the context's digest, of every
     anchor in texts."""
-    n, window = len(data), length - GRAM + 1
+    n, size = len(data), gram(length)
+    window = length - size + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.reshape(0, 2)
     sums = prefix_sums(data)
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * powers(n)[0][: n - GRAM + 1])
+    grams = mix((sums[size:] - sums[:-size]) * powers(n)[0][: n - size + 1])
     least = _sliding(grams, window, np.minimum)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = doc[: len(least)] == doc[length - 1 :]
@@ -74,11 +88,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     stop = np.flatnonzero(inside & np.concatenate([new[1:] | ~inside[1:], [True]]))
     last = stop + length
     own = doc[first]
-    return own, first - offsets[own], last - offsets[own], least[first], span_hash(sums, first, last)
+    return own, first - offsets[own], last - offsets[own], least[first], digests(data, first, last)
 
 
-ROWS = ["hash", "context", "doc_id", "first", "last", "repeat"]
-ROWS_DDL = "hash long, context long, doc_id long, first long, last long, repeat boolean"
+ROWS = ["hash", "context", "digest", "doc_id", "first", "last", "repeat"]
+ROWS_DDL = "hash long, context long, digest long, doc_id long, first long, last long, repeat boolean"
 FOUND = ["hash", "doc_id", "first", "last", "marked"]
 FOUND_DDL = "hash long, doc_id long, first long, last long, marked boolean"
 
@@ -89,17 +103,17 @@ def _anchor_rows(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         for part in slices(batch.column(1), 2_000_000):
             ids = batch.column(0).slice(base, len(part)).to_numpy(zero_copy_only=False)
             base += len(part)
-            doc, first, last, gram, context = anchors(*flat(part), length)
+            doc, first, last, anchor, context = anchors(*flat(part), length)
             doc_id = ids[doc].astype(np.int64)
-            order = np.lexsort((first, doc_id, context, gram))
-            g, c = gram[order], context[order]
+            order = np.lexsort((first, doc_id, context[:, 1], context[:, 0], anchor))
+            g, c = anchor[order], context[order]
             # all but the first of equal contexts in this slice are repeats, unless they are the same place
-            fresh = np.concatenate([[True], (np.diff(g) != 0) | (np.diff(c) != 0)])[: len(order)]
+            fresh = np.concatenate([[True], (np.diff(g) != 0) | (np.diff(c, axis=0) != 0).any(axis=1)])[: len(order)]
             lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
             again = (doc_id[order] != doc_id[lead]) | (first[order] != first[lead])
             keep = fresh | again
             o = order[keep]
-            columns = [gram[o].view(np.int64), context[o].view(np.int64), doc_id[o], first[o], last[o], ~fresh[keep]]
+            columns = [anchor[o].view(np.int64), context[o, 0], context[o, 1], doc_id[o], first[o], last[o], ~fresh[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ROWS)
 
 
@@ -109,25 +123,25 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = False  # whether the held representative has gone out
 
     def batch_of(rows: list[np.ndarray], marked: bool) -> pa.RecordBatch:
-        columns = [rows[0], *rows[2:5], np.full(len(rows[0]), marked)]
+        columns = [rows[0], *rows[3:6], np.full(len(rows[0]), marked)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], FOUND)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-        repeat = rows[5].astype(bool)
-        yield batch_of([x[repeat] for x in rows[:5]], True)
-        rows = [x[~repeat] for x in rows[:5]]
+        rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+        repeat = rows[6].astype(bool)
+        yield batch_of([x[repeat] for x in rows[:6]], True)
+        rows = [x[~repeat] for x in rows[:6]]
         if held is not None:
             rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
         n = len(rows[0])
         if not n:
             continue
         new_hash = np.concatenate([[True], np.diff(rows[0]) != 0])
-        new = new_hash | np.concatenate([[True], np.diff(rows[1]) != 0])
+        new = new_hash | np.concatenate([[True], (np.diff(rows[1]) != 0) | (np.diff(rows[2]) != 0)])
         lead = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        later = ~new & ((rows[2] != rows[2][lead]) | (rows[3] != rows[3][lead]))
+        later = ~new & ((rows[3] != rows[3][lead]) | (rows[4] != rows[4][lead]))
         yield batch_of([x[later] for x in rows], True)
         # representatives whose anchor has another one before or behind them
         reps = np.flatnonzero(new)
@@ -178,35 +192,49 @@ def _index_marks(texts: list[bytes], locations: np.ndarray, length: int) -> list
     return [np.flatnonzero(found[k, width - s :]) for k, s in enumerate(sizes.tolist())]
 
 
+MARKS = ["doc_id", "first", "last", "string"]
+MARKS_DDL = "doc_id long, first long, last long, string binary"
+
+
 def _mark_groups(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks (doc_id, first, last) from rows (hash, doc_id, first, bytes) that come in order of hash."""
-    rows: list[tuple[int, int, int, bytes]] = []
+    """Marks from rows (hash, part, parts, doc_id, first, bytes) that come in order of hash and part.
+
+    A row with a ``string`` is no mark: it is a string of one of several parts of an anchor, not marked yet.
+    """
+    rows: list[tuple[int, int, int, int, int, bytes]] = []
+
+    def batch_of(docs: np.ndarray, first: np.ndarray, last: np.ndarray, strings: list[bytes] | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(first), pa.array(last), pa.array(strings or [None] * len(docs), pa.binary())], MARKS)
 
-    def close(part: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        part = sorted(part, key=lambda r: r[1:3])
-        docs = np.array([r[1] for r in part], np.int64)
-        firsts = np.array([r[2] for r in part], np.int64)
+    def close(group: list[tuple[int, int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        group = sorted(group, key=lambda r: r[3:5])
+        docs = np.array([r[3] for r in group], np.int64)
+        firsts = np.array([r[4] for r in group], np.int64)
         number = np.unique(docs, return_inverse=True)[1]
-        places = _index_marks([r[3] for r in part], (number.astype(np.int64) << 40) + firsts, length)
-        owner = np.repeat(np.arange(len(part)), [len(p) for p in places])
+        places = _index_marks([r[5] for r in group], (number.astype(np.int64) << 40) + firsts, length)
+        owner = np.repeat(np.arange(len(group)), [len(p) for p in places])
         at = firsts[owner] + np.concatenate(places)
         # strings that follow each other make one span
         new = np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(at) != 1)])[: len(at)]
         begin = np.flatnonzero(new)
         end = np.concatenate([begin[1:], [len(at)]])[: len(begin)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(docs[owner[begin]]), pa.array(at[begin]), pa.array(at[end] + length)], ["doc_id", "first", "last"])
+        yield batch_of(docs[owner[begin]], at[begin], at[end] + length)
+        for k, (_, _, parts, _, _, raw) in enumerate(group):
+            if parts > 1:
+                left = np.setdiff1d(np.arange(len(raw) - length + 1), places[k], assume_unique=True)
+                yield batch_of(np.full(len(left), docs[k]), firsts[k] + left, firsts[k] + left + length, [raw[x : x + length] for x in left.tolist()])
 
     held, last = 0, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held >= INDEX_BYTES and row[0] != last:
-                yield close(rows)
+            if held >= INDEX_BYTES and row[:2] != last:
+                yield from close(rows)
                 rows, held = [], 0
             rows.append(row)
-            held += len(row[3])
-            last = row[0]
+            held += len(row[5])
+            last = row[:2]
     if rows:
-        yield close(rows)
+        yield from close(rows)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +253,7 @@ def repeats(docs: DataFrame, length: int = 100, group_contexts: int = GROUP_CONT
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = docs.mapInArrow(partial(_anchor_rows, length), ROWS_DDL)
-    order = ["hash", "context", "doc_id", "first"]
+    order = ["hash", "context", "digest", "doc_id", "first"]
     # what is known to be a repeat needn't meet anything: it is dealt out evenly
     place = F.when(F.col("repeat"), F.xxhash64("doc_id", "first")).otherwise(F.col("hash"))
     found = staged(rows.repartition(n, place).sortWithinPartitions(*order).mapInArrow(_resolve, FOUND_DDL), "found")
@@ -233,17 +261,21 @@ def repeats(docs: DataFrame, length: int = 100, group_contexts: int = GROUP_CONT
     ids = staged(reps.select("doc_id").distinct(), "ids")
     wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "first", "last")).alias("wanted"))
     contexts = staged(by_id(docs, ids).join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contexts, "hash long, doc_id long, first long, bytes binary"), "contexts")
-    hot = staged(reps.groupBy("hash").count().where(F.col("count") > group_contexts).select("hash"), "hot")
-    grouped = contexts.join(hot, "hash", "left_anti").select("hash", "doc_id", "first", "bytes").repartition(n, "hash").sortWithinPartitions("hash", "doc_id", "first")
-    spans = found.where("marked").select("doc_id", "first", "last").unionByName(grouped.mapInArrow(partial(_mark_groups, length), "doc_id long, first long, last long"))
-    if not hot.isEmpty():
-        starts = F.explode(F.sequence(F.lit(0), F.length("bytes") - length))
-        strings = contexts.join(hot, "hash", "left_semi").select("hash", "doc_id", "first", "bytes", starts.alias("k"))
-        strings = strings.select("hash", "doc_id", (F.col("first") + F.col("k")).alias("at"), F.sha2(F.expr(f"substring(bytes, k + 1, {length})"), 256).alias("string"))
-        same = ["hash", "string"]
-        least = strings.groupBy(same).agg(F.min(F.struct("doc_id", "at")).alias("least"))
-        later = strings.join(least, same).where(F.struct("doc_id", "at") > F.col("least"))
-        spans = spans.unionByName(later.select("doc_id", F.col("at").alias("first"), (F.col("at") + length).alias("last")))
+    hot = staged(reps.groupBy("hash").count().where(F.col("count") > group_contexts).select("hash", F.ceil(F.col("count") / group_contexts).alias("parts")), "hot")
+    n_hot = hot.count()
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = contexts.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, "hash", "left").select("hash", F.pmod(F.xxhash64("doc_id", "first"), parts).alias("part"), parts.alias("parts"), "doc_id", "first", "bytes")
+    grouped = dealt.repartition(n, "hash", "part").sortWithinPartitions("hash", "part", "doc_id", "first")
+    marks = grouped.mapInArrow(partial(_mark_groups, length), MARKS_DDL)
+    columns = ["doc_id", "first", "last"]
+    spans = found.where("marked").select(*columns)
+    if n_hot:
+        marks = staged(marks, "marks")
+        strings = marks.where("string IS NOT NULL")
+        least = strings.groupBy("string").agg(F.min(F.struct("doc_id", "first")).alias("least"))
+        later = strings.join(least, "string").where(F.struct("doc_id", "first") > F.col("least"))
+        spans = spans.unionByName(later.select(*columns))
+    spans = spans.unionByName(marks.where("string IS NULL").select(*columns))
     return staged(spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
 
 
