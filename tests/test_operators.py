@@ -181,3 +181,28 @@ def test_json_both_ways(spark):
     totals = spark.createDataFrame([("2024-H1", "b", 1.5), ("2024-H1", "a", 2.0)], "semester string, store_id string, tpv double")
     assert sorted(map(tuple, from_semester_json(semester_json(totals)).collect())) == sorted(map(tuple, totals.collect()))
     assert from_semester_json(lines(spark, "no json", None).withColumnRenamed("value", "json")).count() == 0
+
+
+@pytest.mark.parametrize(("text", "parts", "found"), [("a,b,c", 2, ["a", "b,c"]), ("a", 2, ["a"]), ("", 2, [""]), (",", 2, ["", ""]), ("a,b,c", 1, ["a,b,c"]), (None, 2, None)])
+def test_split_first(spark, text, parts, found):
+    from tillspark.functions.parsing import split_first
+
+    assert lines(spark, text).select(split_first("value", parts)).first()[0] == found
+    with pytest.raises(ValueError, match="above 0"):
+        split_first("value", 0)
+
+
+def test_client_ids(spark):
+    from tillspark.functions.ids import new_client_id, short_id
+
+    made = [new_client_id() for _ in range(3)]
+    assert len(set(made)) == 3
+    rows = lines(spark, *made, "ab", "", None).select("value", short_id("value").alias("short")).collect()
+    assert [r.short for r in rows] == [m.replace("-", "")[:8] for m in made] + ["ab", "", None]
+
+
+def test_maps_of_groups(spark):
+    from tillspark.operators.aggregates import as_maps
+
+    groups = spark.createDataFrame([("c", "b", 2.0), ("c", "a", 1.0), ("d", "a", None), ("e", None, 3.0)], "client string, store string, tpv double")
+    assert {r.client: r.entries for r in as_maps(groups, ["client"], "store", "tpv").collect()} == {"c": {"a": 1.0, "b": 2.0}, "d": {"a": None}}

@@ -22,7 +22,7 @@ def rows(frame):
     return names, sorted(map(str, frame[names].astype(object).where(frame[names].notna(), None).itertuples(index=False, name=None)))
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.queries() if n.startswith(("q", "stream", "clean", "join", "merge", "group_small", "timestamps", "best_seller"))])
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n.startswith(("q", "stream", "clean", "join", "merge", "group_small", "timestamps", "best_seller", "top_profit", "dump", "split", "short"))])
 def test_query_equals_sql(spark, tables, sf, name):
     assert rows(catalog.queries()[name](spark, sf).toPandas()) == rows(tables.sql(catalog.oracle_sql()[name]).df())
 

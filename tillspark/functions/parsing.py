@@ -29,6 +29,13 @@ def before_point(text: Column) -> Column:
     return F.nullif(F.element_at(F.split(text, r"\."), 1), F.lit(""))
 
 
+def split_first(text: Column | str, parts: int = 2, by: str = ",") -> Column:
+    """At most ``parts`` pieces of a text; the last one keeps the separators that are left."""
+    if parts < 1:
+        raise ValueError("parts must be above 0")
+    return F.split(text, "[" + by + "]", parts)
+
+
 def total(amount: Column) -> Column:
     """The sum of amounts (double) as a double.
 

@@ -45,6 +45,15 @@ def merged(parts: list[DataFrame], keys: list[str], sums: list[str]) -> DataFram
     return out.groupBy(*keys).agg(*((total(F.col(c)) if kinds[c] == "double" else F.sum(c)).alias(c) for c in sums))
 
 
+def as_maps(groups: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
+    """One map from ``key`` to ``value`` for each ``by``, in order of the key.
+
+    ``groups`` has a row per ``by`` and ``key``; a ``by`` with very many keys belongs in rows, not in a map.
+    """
+    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))))
+    return groups.where(F.col(key).isNotNull()).groupBy(*by).agg(F.map_from_entries(entries).alias("entries"))
+
+
 AGGREGATES: dict[str, Callable[..., DataFrame]] = {"yearmonth": month_items, "semester": semester_stores, "store": store_users}
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import Params
 from ..functions.calendar import semester, time_parts, year_month
-from ..functions.parsing import to_timestamp
+from ..functions.ids import short_id
+from ..functions.parsing import split_first, to_timestamp
 from ..operators import aggregates, cleaners, filters, joins, ranking
 from ..shared import fresh_path
 from ..sources import adapters
@@ -206,6 +207,16 @@ def merge_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.merged(parts, ["semester", "store_id"], ["tpv"])
 
 
+CLIENT_TOTALS = _SQL["group_semester_store_per_client"]
+
+
+@query(f"SELECT client_id, store_id, string_agg(semester || '=' || printf('%.6f', tpv), ';' ORDER BY semester) AS dump FROM ({CLIENT_TOTALS}) GROUP BY 1, 2")
+def dump_store_maps_per_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = aggregates.as_maps(group_semester_store_per_client(spark, sf_dir), ["client_id", "store_id"], "semester", "tpv")
+    entry = F.transform(F.map_entries("entries"), lambda e: F.concat_ws("=", e["key"], F.format_string("%.6f", e["value"])))
+    return maps.select("client_id", "store_id", F.array_join(entry, ";").alias("dump"))
+
+
 # Ranking.
 @query(BEST)
 def best_seller_per_month(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +237,15 @@ def best_seller_per_month_per_client(spark: SparkSession, sf_dir: str) -> DataFr
     return ranking.best_sellers(aggregates.month_items(filters.filter_year(lines, 1996, 1997), "client_id"), "client_id")
 
 
+CLIENT_PROFITS = f"SELECT l_returnflag AS client_id, {MONTH} AS year_month, item_id, CAST(sum(CAST(subtotal AS DECIMAL(18,2))) AS DOUBLE) AS profit FROM (SELECT l_returnflag, CAST(l_partkey AS VARCHAR) AS item_id, l_extendedprice AS subtotal, l_shipdate AS created_at FROM lineitem) WHERE {YEARS_SQL} GROUP BY 1, 2, 3"
+
+
+@query(f"SELECT client_id, year_month, item_id, CAST(0 AS BIGINT) AS total_quantity, profit AS total_profit FROM (SELECT *, row_number() OVER (PARTITION BY client_id, year_month ORDER BY profit DESC, CAST(item_id AS BIGINT)) AS r FROM ({CLIENT_PROFITS})) WHERE r = 1")
+def top_profit_per_month_per_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = adapters.as_items(scan_parquet(spark, sf_dir, "lineitem"), F.col("l_returnflag").alias("client_id"))
+    return ranking.top_earners(aggregates.month_items(filters.filter_year(lines, 1996, 1997), "client_id"), "client_id")
+
+
 @query(TOP)
 def topk_users_per_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_buyers(_counts(spark, sf_dir), 3)
@@ -319,6 +339,20 @@ def lines_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_lines(q3_tpv(spark, sf_dir))
 
 
+# Texts of messages.
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_name || ',' || c_mktsegment AS rest FROM customer")
+def split_at_first_comma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = scan_parquet(spark, sf_dir, "customer").select(split_first(F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment")).alias("parts"))
+    return lines.select(F.get("parts", F.lit(0)).alias("key"), F.get("parts", F.lit(1)).alias("rest"))
+
+
+@query("SELECT c_custkey, substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8) AS client FROM customer")
+def short_client_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.md5(F.col("c_custkey").cast("string"))
+    dashed = F.regexp_replace(digits, "^(.{6})(.{2})(.{4})(.{4})(.*)$", "$1-$2-$3-$4-$5")
+    return scan_parquet(spark, sf_dir, "customer").select("c_custkey", short_id(dashed).alias("client"))
+
+
 # Streams, run to the end of what is there.
 def _streamed(spark: SparkSession, run: Callable[[str, str], None]) -> DataFrame:
     out = fresh_path(spark, "stream-out")
