@@ -4,13 +4,14 @@
    class, represented by its smallest id.
 2. A representative's signature is ``TREES * DEPTH`` minimum hashes.  Tree t orders all representatives by
    the signature read from hash ``DEPTH * t`` on, around the ring.  Those that agree in the first DEPTH
-   hashes form a region.  A region of up to ``WINDOW`` rows is compared whole; in a denser one a row meets
-   the ``WINDOW`` rows behind it in the order, those of the longest common prefixes, so that the depth at
-   which texts are told apart follows the region.  A pair at similarity 0.75 meets in some region but for 2
-   in a million cases.  Dense regions come from passages that many texts share; texts that are similar by
-   half through them join one cluster, which is confirmed whole.  With less in common, a pair still meets in
-   a region of its own in 998 of 1000 cases, whatever the dense ones hold: it shares three hashes of which
-   one lies outside the passage in a tree with probability 0.75**3 - 0.583**3 = 0.22.
+   hashes form a region.  A region of up to ``WINDOW`` rows is compared whole, also where a partition ends
+   within it; in a denser one a row meets the ``WINDOW`` rows behind it in the order, those of the longest
+   common prefixes, so that the depth at which texts are told apart follows the region.  A pair at similarity
+   0.75 meets in some region but for 2 in a million cases.  Dense regions come from passages that many texts
+   share; texts that are similar by half through them join one cluster, which is confirmed whole.  With less
+   in common, a pair still meets in a region of its own in 998 of 1000 cases, whatever the dense ones hold:
+   it shares three hashes of which one lies outside the passage in a tree with probability
+   0.75**3 - 0.583**3 = 0.22.
 3. Candidates whose signatures agree in ``LEAST_AGREEMENT`` of all places join into clusters.
 4. A cluster is confirmed on full sets: every pair of different components is decided, so that no link
    inside it is lost.  One of at most ``CLUSTER_SHINGLES`` shingles is confirmed by one task (see
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +39,16 @@ from .tokens import slices
 
 TREES, DEPTH = 24, 3
 #: Rows behind one in a tree's order with which it is compared.
-WINDOW = 32
+WINDOW = 256
+#: Rows of a partition of a tree's order, on average and at least: many more than the window.
+PARTITION_ROWS = 16 * WINDOW
 #: Share of equal minimum hashes from which candidates join a cluster; five deviations under 0.75.
 LEAST_AGREEMENT = 0.5
 #: Shingles of a cluster that one task confirms (8 bytes each), and as how many more a set counts.
 CLUSTER_SHINGLES, SET_SHINGLES = 4_000_000, 200
-#: Sets of a large cluster that are compared with all in one round, and counters by which they are chosen
-#: (8 bytes each, for every large cluster, at the driver and executors).
-CENTRAL, COUNTERS = 8, 4096
+#: Sets of a large cluster that are compared with all in one round; one of so many shingles helps to choose
+#: them.  Which sets they are bears on speed alone.
+CENTRAL, SHINGLE_SAMPLE = 8, 16
 #: Similarity of a link, in hundredths.
 LINK = 75
 #: Up to so many ids are broadcast to find their texts; more are joined.
@@ -107,50 +111,82 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sig binary")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows (key, sig, doc_id) that come in order; none that a chain of neighbours joins."""
-    held_key, held_id, held_sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint8)
+def neighbours(key: np.ndarray, sig: np.ndarray, held: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of candidates among rows in order of (key, sig): rows of one key at most ``WINDOW`` apart
+    that agree in ``LEAST_AGREEMENT`` of the signature.
+
+    Rows that a chain of such next neighbours joins come with the chain's pairs alone.  Pairs within the first
+    ``held`` rows are left out.
+    """
+    at = np.flatnonzero(key[:-1] == key[1:])
+    linked = np.zeros(len(key), bool)
+    close = at[(sig[at] == sig[at + 1]).mean(axis=1) >= LEAST_AGREEMENT] if len(at) else at
+    linked[close + 1] = True
+    chain = np.cumsum(~linked)
+    close = close[close + 1 >= held]
+    left, right = [close], [close + 1]
+    for step in range(2, WINDOW + 1):
+        at = at[at < len(key) - step]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            break
+        apart = at[(chain[at] != chain[at + step]) & (at + step >= held)]
+        close = apart[(sig[apart] == sig[apart + step]).mean(axis=1) >= LEAST_AGREEMENT] if len(apart) else apart
+        left.append(close)
+        right.append(close + step)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b) of rows (key, sig, doc_id, ...) that come in order; beside them, as rows (border,
+    key, sig, doc_id), the partition's first and last rows, which meet those across its borders."""
+    part = TaskContext.get().partitionId()
+    none = pa.schema([("border", pa.int64()), ("key", pa.int64()), ("sig", pa.binary()), ("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def edge(border: int, key: np.ndarray, sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        n = len(key)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, border)), pa.array(key), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(doc), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=none)
+
+    held_key, held_doc, held_sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint8)
+    head = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.concatenate([held_key, batch.column(0).to_numpy()])
-        doc = np.concatenate([held_id, batch.column(2).to_numpy()])
+        doc = np.concatenate([held_doc, batch.column(2).to_numpy()])
         sig = np.concatenate([held_sig, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH)])
-        left, right = [], []
-        chain = None
-        at = np.arange(len(key))
-        for step in range(1, WINDOW + 1):
-            at = at[at < len(key) - step]
-            at = at[key[at] == key[at + step]]
-            if chain is not None:
-                at = at[chain[at] != chain[at + step]]
-            # pairs within what was held came with the batch before
-            new = at[at + step >= len(held_key)] if chain is not None else at
-            close = new[(sig[new] == sig[new + step]).mean(axis=1) >= LEAST_AGREEMENT]
-            if chain is None:
-                linked = np.zeros(len(key), bool)
-                linked[close + 1] = True
-                chain = np.cumsum(~linked)
-                close = close[close + step >= len(held_key)]
-            left.append(doc[close])
-            right.append(doc[close + step])
-        a, b = np.concatenate(left), np.concatenate(right)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-        held_key, held_id, held_sig = key[-WINDOW:], doc[-WINDOW:], sig[-WINDOW:]
+        i, j = neighbours(key, sig, len(held_key))
+        a, b = doc[i], doc[j]
+        n = len(a)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=none)
+        if head < WINDOW:
+            new = slice(len(held_key), len(held_key) + WINDOW - head)
+            yield edge(part - 1, key[new], sig[new], doc[new])
+            head += len(key[new])
+        held_key, held_doc, held_sig = key[-WINDOW:], doc[-WINDOW:], sig[-WINDOW:]
+    if len(held_key):
+        yield edge(part, held_key, held_sig, held_doc)
+
+
+_PAIRS = "border long, key long, sig binary, doc_id long, a long, b long"
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a < b) of ``reps`` (doc_id, keys, sig)."""
+    """Distinct candidate pairs (a < b) of ``reps`` (doc_id, keys, sig), a table read from files."""
     spark = reps.sparkSession
     rows = reps.select("doc_id", "sig", F.posexplode("keys").alias("tree", "key"))
     start = F.col("tree") * DEPTH
     # the signature from the tree's place on, around the ring
     ring = F.concat(F.expr(f"substring(sig, {DEPTH} * tree + 1, {TREES * DEPTH})"), F.expr(f"substring(sig, 1, {DEPTH} * tree)"))
     rows = rows.select("key", F.when(start == 0, F.col("sig")).otherwise(ring).alias("sig"), "doc_id")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + reps.count() * TREES // PARTITION_ROWS)
     # by range, so that a dense region spreads over partitions
     ordered = rows.repartitionByRange(n, "key", "sig", "doc_id").sortWithinPartitions("key", "sig", "doc_id")
-    return ordered.mapInArrow(_neighbours, "a long, b long").distinct()
+    found = staged(ordered.mapInArrow(_pairs, _PAIRS), "neighbours")
+    # the rows about each border are compared once more, as regions of their own
+    about = found.where("border IS NOT NULL").select(F.xxhash64("border", "key").alias("key"), "sig", "doc_id")
+    across = about.repartition(max(1, n // 16), "key").sortWithinPartitions("key", "sig", "doc_id").mapInArrow(_pairs, _PAIRS)
+    return found.unionByName(across).where("a IS NOT NULL").select("a", "b").distinct()
 
 
 class Cluster:
@@ -292,33 +328,23 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cluster, counter and n: the shingles of each cluster's sets by their hashes' low bits."""
-    counters: dict[int, np.ndarray] = {}
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cluster, doc_id and shingle: those of each set whose hashes fall into the sample, or its least one."""
     for batch in batches:
-        for c, s in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-            low = np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(COUNTERS)
-            counters.setdefault(c, np.zeros(COUNTERS, np.int64))[:] += np.bincount(low.astype(np.int64), minlength=COUNTERS)
-    for c, n in counters.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(COUNTERS, c)), pa.array(np.arange(COUNTERS)), pa.array(n)], ["cluster", "counter", "n"])
+        for c, d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            shingles = np.frombuffer(s.as_buffer(), np.uint64)
+            some = shingles[mix(shingles) % np.uint64(SHINGLE_SAMPLE) == 0]
+            some = some if len(some) else shingles.min(keepdims=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), c)), pa.array(np.full(len(some), d)), pa.array(some.view(np.int64))], ["cluster", "doc_id", "shingle"])
 
 
 def central(sets: DataFrame) -> DataFrame:
     """The doc_id of the ``CENTRAL`` sets of each cluster whose shingles are the commonest in ``sets``."""
-    counters: dict[int, np.ndarray] = {}
-    for r in sets.mapInArrow(_counted, "cluster long, counter long, n long").groupBy("cluster", "counter").agg(F.sum("n").alias("n")).toLocalIterator():
-        counters.setdefault(r["cluster"], np.zeros(COUNTERS))[r["counter"]] = r["n"]
-    shared = sets.sparkSession.sparkContext.broadcast(counters)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(2), strict=True)
-            score = [shared.value[c][(np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(COUNTERS)).astype(np.int64)].mean() for c, s in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], ["cluster", "doc_id", "score"])
-
+    rows = staged(sets.mapInArrow(_sampled, "cluster long, doc_id long, shingle long"), "sampled")
+    counts = staged(rows.groupBy("cluster", "shingle").agg(F.count("*").alias("n")), "common")
+    scores = rows.join(counts, ["cluster", "shingle"]).groupBy("cluster", "doc_id").agg(F.avg("n").alias("score"))
     order = Window.partitionBy("cluster").orderBy(F.desc("score"), "doc_id")
-    ranked = sets.mapInArrow(scored, "cluster long, doc_id long, score double").withColumn("_rank", F.row_number().over(order))
-    return ranked.where(F.col("_rank") <= CENTRAL).select("doc_id").distinct()
+    return scores.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= CENTRAL).select("doc_id").distinct()
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -334,7 +360,7 @@ def block_links(sets: DataFrame, roots: DataFrame, probes: DataFrame, block: int
     probe = F.col("_probe").isNotNull()
     rows = roots.join(probes.withColumn("_probe", F.lit(True)), "doc_id", "left")
     blocks = rows.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block).alias("_n"), F.ceil(F.sum(F.when(probe, F.col("n_shingles"))) / block).alias("_m"))
-    rows = sets.join(_few(staged(rows.drop("n_shingles").join(F.broadcast(blocks.where("_m > 0")), "cluster"), "rows")), ["cluster", "doc_id"])
+    rows = sets.join(_few(staged(rows.drop("n_shingles").join(_few(staged(blocks.where("_m > 0"), "blocks")), "cluster"), "rows")), ["cluster", "doc_id"])
 
     def every(n: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -378,7 +404,7 @@ def large_components(sets: DataFrame, members: DataFrame, pairs: DataFrame, bloc
     before = None
     while True:
         top = roots.groupBy("cluster", "root").count().groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("_top"))
-        outside = roots.join(F.broadcast(top), "cluster").where(F.col("root") != F.col("_top.root")).select("cluster", "doc_id")
+        outside = roots.join(_few(staged(top, "top")), "cluster").where(F.col("root") != F.col("_top.root")).select("cluster", "doc_id")
         outside = staged(outside.join(probed, "doc_id", "left_anti"), "outside")
         n = outside.count()
         if not n:
@@ -418,8 +444,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, pairs: DataFrame, limit: int
     out = small.mapInArrow(_confirm, "doc_id long, component long")
     if large.isEmpty():
         return out
-    # at most one large cluster for every ``limit`` shingles
-    rest = staged(sets.join(F.broadcast(large), "cluster", "left_semi").dropDuplicates(["doc_id"]), "large")
+    rest = staged(sets.join(_few(large), "cluster", "left_semi").dropDuplicates(["doc_id"]), "large")
     members = staged(clusters.where(F.col("_size") > limit).select("doc_id", "cluster", "n_shingles").dropDuplicates(["doc_id"]), "members")
     return out.unionByName(large_components(rest, members, pairs, max(1, limit // 4)))
 
