@@ -115,14 +115,16 @@ def neighbours(key: np.ndarray, sig: np.ndarray, held: int = 0) -> tuple[np.ndar
     """Places (i, j) of candidates among rows in order of (key, sig): rows of one key at most ``WINDOW`` apart
     that agree in ``LEAST_AGREEMENT`` of the signature.
 
-    Rows that a chain of such next neighbours joins come with the chain's pairs alone.  Pairs within the first
-    ``held`` rows are left out.
+    Of candidates that join the same rows some are given, the nearest first, so that there are fewer of them
+    than rows; all next neighbours are.  Pairs within the first ``held`` rows are left out.
     """
     at = np.flatnonzero(key[:-1] == key[1:])
     linked = np.zeros(len(key), bool)
     close = at[(sig[at] == sig[at + 1]).mean(axis=1) >= LEAST_AGREEMENT] if len(at) else at
     linked[close + 1] = True
-    chain = np.cumsum(~linked)
+    # rows that pairs join so far have the same number
+    joined = np.cumsum(~linked)
+    every = np.arange(len(key) + 1)
     close = close[close + 1 >= held]
     left, right = [close], [close + 1]
     for step in range(2, WINDOW + 1):
@@ -130,10 +132,30 @@ def neighbours(key: np.ndarray, sig: np.ndarray, held: int = 0) -> tuple[np.ndar
         at = at[key[at] == key[at + step]]
         if not len(at):
             break
-        apart = at[(chain[at] != chain[at + step]) & (at + step >= held)]
-        close = apart[(sig[apart] == sig[apart + step]).mean(axis=1) >= LEAST_AGREEMENT] if len(apart) else apart
-        left.append(close)
-        right.append(close + step)
+        apart = at[(joined[at] != joined[at + step]) & (at + step >= held)]
+        if not len(apart):
+            continue
+        close = apart[(sig[apart] == sig[apart + step]).mean(axis=1) >= LEAST_AGREEMENT]
+        if not len(close):
+            continue
+        fresh, root = [], {}
+
+        def top(x: int, root: dict[int, int] = root) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        for i, u, v in zip(close.tolist(), joined[close].tolist(), joined[close + step].tolist(), strict=True):
+            u, v = top(u), top(v)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                fresh.append(i)
+        numbers = every.copy()
+        for x in root:
+            numbers[x] = top(x)
+        joined = numbers[joined]
+        left.append(np.array(fresh))
+        right.append(np.array(fresh) + step)
     return np.concatenate(left), np.concatenate(right)
 
 
