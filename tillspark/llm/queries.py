@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact, fm, idfile, langid, licenses, near, packing, quality, suffix
+from . import byte_bpe, exact, fm, idfile, langid, licenses, near, negatives, packing, pii, quality, spelling, suffix
 from .common import fresh_path, table
 
 
@@ -117,9 +117,74 @@ SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = compon
 """
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: The hash is the usual crc32, by its table; near words share what is left when one code point is deleted.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+  ) WHERE length(run) >= 7 GROUP BY 1, 2
+), keys AS (
+  SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda k: CAST(('0x' || substr(h, CAST(2 * k + 1 AS BIGINT), 2)) AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS x
+  FROM keys, crc
+), cut AS (
+  SELECT n, CASE WHEN x % 31 = 0 THEN substr(run, 1, x % length(run)) || substr(run, x % length(run) + 2) ELSE run END AS word FROM hashed
+), v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2
+), dels AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM dels a JOIN dels b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM dels a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM dels a JOIN v b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY 1
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best ON best.word = v.word
+), steps AS (
+  SELECT word, word AS last_word, 0 AS k FROM f UNION ALL SELECT s.word, f.form, k + 1 FROM steps s JOIN f ON f.word = s.last_word WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, r.root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(last_word, k) AS root FROM steps GROUP BY 1) r ON r.word = f.word
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank,
+    s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+) WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_byte_level_bpe, op4_quality_classifier, op5_exact_dedup, op6_huffman_id_files, op7_language_id, op8_license_scan, op9_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_dedup, op3_byte_level_bpe, op4_quality_classifier, op5_exact_dedup, op6_huffman_id_files, op7_language_id, op8_license_scan, op9_quality_rules, op10_minhash_near_dedup, op11_personal_data, op12_spelling_variants, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_minhash_near_dedup": OP10_SQL}
+    return {"op2_suffix_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op10_minhash_near_dedup": OP10_SQL, "op12_spelling_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
