@@ -8,13 +8,14 @@ from __future__ import annotations
 import argparse
 from dataclasses import fields
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .config import Params
 from .operators.cleaners import clean
 from .plans.questions import run_all
 from .shared import fresh_path
-from .sources.files import scan_lines, selected_tables
+from .sources.files import ORDER, scan_lines, selected_tables
+from .sources.ingest import ingest
 from .sources.schemas import TABLES
 from .sources.sinks import write_results
 
@@ -34,13 +35,23 @@ def main(args: list[str] | None = None) -> None:
     data, out, names = found.pop("data"), found.pop("out"), selected_tables(found.pop("tables"))
     params = Params(**found)
     spark = SparkSession.builder.appName("tillspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    strict = params.bad_rows == "fail"
-    tables = {n: clean(scan_lines(spark, f"{data}/{n}", "", blank=strict, order=n in SIDES), n, params.bad_rows) for n in names}
-    if "transactions" in tables:  # three questions read it: parsed once
-        path = fresh_path(spark, "transactions")
-        tables["transactions"].write.parquet(path)
-        tables["transactions"] = spark.read.parquet(path)
-    write_results(run_all(tables, params), out)
+
+    def stage(df: DataFrame) -> DataFrame:
+        path = fresh_path(spark, "staged")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    if params.bad_rows == "file":
+        loaded = {n: ingest(spark, f"{data}/{n}", "", n) for n in names}
+        for n, x in loaded.items():
+            x.rejects.write.mode("overwrite").json(f"{out}/rejects_{n}")
+        tables = {n: x.good if n in SIDES else x.good.drop(ORDER) for n, x in loaded.items()}
+    else:
+        strict = params.bad_rows == "fail"
+        tables = {n: clean(scan_lines(spark, f"{data}/{n}", "", blank=strict, order=n in SIDES), n, params.bad_rows) for n in names}
+        if "transactions" in tables:  # several questions read it: parsed once
+            tables["transactions"] = stage(tables["transactions"])
+    write_results(run_all(tables, params, stage), out)
 
 
 if __name__ == "__main__":

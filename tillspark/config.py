@@ -9,7 +9,7 @@ from dataclasses import dataclass
 class Params:
     """Years and hours are inclusive.  ``hour_mode``: "compat" lets the last hour's whole minutes and first
     seconds pass (only rows with a minute and a second above zero are out), "strict" ends it on the hour.
-    ``bad_rows``: "fail" raises on a line with too few fields, "drop" leaves it out."""
+    ``bad_rows``: "fail" raises on a line with too few fields, "drop" leaves it out, "file" its whole file."""
 
     from_year: int = 2024
     to_year: int = 2025
@@ -23,5 +23,5 @@ class Params:
     def __post_init__(self) -> None:
         if self.k <= 0:
             raise ValueError("k must be above 0")
-        if self.hour_mode not in ("compat", "strict") or self.bad_rows not in ("fail", "drop"):
+        if self.hour_mode not in ("compat", "strict") or self.bad_rows not in ("fail", "drop", "file"):
             raise ValueError("unknown mode")

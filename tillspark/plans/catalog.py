@@ -14,9 +14,13 @@ from ..functions.parsing import split_first, to_timestamp
 from ..operators import aggregates, cleaners, filters, joins, ranking
 from ..shared import fresh_path
 from ..sources import adapters
-from ..sources.files import scan_parquet, stream_parquet
+from ..sources.files import ORDER, scan_parquet, stream_parquet
+from ..sources.ingest import ingest
 from ..sources.sinks import as_lines, from_semester_json, semester_json
 from ..streaming import jobs
+from ..streaming.ends import end_marks
+from ..streaming.state import state_session
+from ..streaming.text import land, landed
 from . import questions
 
 #: Two years that the tables cover; orders and lines have dates alone, so all hours.
@@ -54,6 +58,8 @@ BEST = f"SELECT year_month, item_id, total_quantity, CAST(0 AS DOUBLE) AS total_
 EARN = f"SELECT year_month, item_id, CAST(0 AS BIGINT) AS total_quantity, total_profit FROM (SELECT *, row_number() OVER (PARTITION BY year_month ORDER BY total_profit DESC, CAST(item_id AS BIGINT)) AS r FROM ({GROUPS})) WHERE r = 1"
 TOTALS = f"SELECT {SEMESTER} AS semester, store_id, CAST(sum(CAST(final_amount AS DECIMAL(18,2))) AS DOUBLE) AS tpv FROM ({ORDER_TX}) WHERE {YEARS_SQL} GROUP BY 1, 2"
 COUNTS = f"SELECT store_id, user_id, count(*) AS purchases FROM ({LINE_TX}) WHERE {YEARS_SQL} GROUP BY 1, 2"
+LINE_TOTALS = f"SELECT {SEMESTER} AS semester, store_id, CAST(sum(CAST(final_amount AS DECIMAL(18,2))) AS DOUBLE) AS tpv FROM ({LINE_TX}) WHERE {YEARS_SQL} GROUP BY 1, 2"
+EVENT_TOTALS = f"SELECT {SEMESTER} AS semester, store_id, '' AS user_id, CAST(sum(CAST(final_amount AS DECIMAL(28,10))) AS DOUBLE) AS tpv FROM ({EVENT_TX}) WHERE {EVENT_YEARS} AND {HOURS} GROUP BY 1, 2"
 TOP = f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY store_id ORDER BY purchases DESC, CAST(user_id AS BIGINT)) AS INTEGER) AS rank FROM ({COUNTS})) WHERE rank <= 3"
 
 
@@ -237,6 +243,13 @@ def best_seller_per_month_per_client(spark: SparkSession, sf_dir: str) -> DataFr
     return ranking.best_sellers(aggregates.month_items(filters.filter_year(lines, 1996, 1997), "client_id"), "client_id")
 
 
+@query(f"SELECT client_id, year_month, CAST(item_id AS BIGINT) AS item_id, total_quantity, total_profit FROM (SELECT client_id, year_month, item_id, CAST(n AS BIGINT) AS total_quantity, CAST(0 AS DOUBLE) AS total_profit, row_number() OVER (PARTITION BY client_id, year_month ORDER BY n DESC, CAST(item_id AS BIGINT)) AS r FROM ({CLIENT_ITEMS})) WHERE r = 1 UNION ALL SELECT client_id, year_month, CAST(item_id AS BIGINT), 0, profit FROM (SELECT *, row_number() OVER (PARTITION BY client_id, year_month ORDER BY profit DESC, CAST(item_id AS BIGINT)) AS r FROM (SELECT l_returnflag AS client_id, {MONTH} AS year_month, item_id, CAST(sum(CAST(subtotal AS DECIMAL(18,2))) AS DOUBLE) AS profit FROM (SELECT l_returnflag, CAST(l_partkey AS VARCHAR) AS item_id, l_extendedprice AS subtotal, l_shipdate AS created_at FROM lineitem) WHERE {YEARS_SQL} GROUP BY 1, 2, 3)) WHERE r = 1")
+def month_winners_per_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both maxima of each client's months in one pass of hash aggregates."""
+    lines = adapters.as_items(scan_parquet(spark, sf_dir, "lineitem"), F.col("l_returnflag").alias("client_id")).withColumn("item_id", F.col("item_id").cast("bigint"))
+    return ranking.month_winners(aggregates.month_items(filters.filter_year(lines, 1996, 1997), "client_id"), "client_id")
+
+
 CLIENT_PROFITS = f"SELECT l_returnflag AS client_id, {MONTH} AS year_month, item_id, CAST(sum(CAST(subtotal AS DECIMAL(18,2))) AS DOUBLE) AS profit FROM (SELECT l_returnflag, CAST(l_partkey AS VARCHAR) AS item_id, l_extendedprice AS subtotal, l_shipdate AS created_at FROM lineitem) WHERE {YEARS_SQL} GROUP BY 1, 2, 3"
 
 
@@ -297,7 +310,8 @@ def q1_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_named(f"{BEST} UNION ALL {EARN}"))
 def q2_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.month_products(adapters.line_items(spark, sf_dir), adapters.part_menu(spark, sf_dir), YEARS)
+    items = adapters.numbered_items(scan_parquet(spark, sf_dir, "lineitem"))
+    return questions.month_products(items, adapters.part_menu(spark, sf_dir), YEARS)
 
 
 @query(f"SELECT year_month, item_name, total_quantity FROM ({_named(BEST)})")
@@ -323,6 +337,26 @@ def q4_top_buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.buyers_birthdays(adapters.line_transactions(spark, sf_dir), adapters.supplier_stores(spark, sf_dir), adapters.customer_users(spark, sf_dir), YEARS)
 
 
+@query(f"SELECT CAST(3 AS INTEGER) AS question, semester, store_id, CAST(NULL AS VARCHAR) AS user_id, tpv, CAST(NULL AS BIGINT) AS purchases FROM ({LINE_TOTALS}) UNION ALL SELECT 4, NULL, store_id, user_id, NULL, purchases FROM ({COUNTS})")
+def fan_out_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of questions 3 and 4 from one pass over the transactions."""
+    return questions.fan_out(adapters.line_transactions(spark, sf_dir), YEARS)
+
+
+@query(f"{EVENT_TOTALS} UNION ALL SELECT '4', store_id, user_id, CAST(count(*) AS DOUBLE) FROM ({EVENT_TX}) WHERE {EVENT_YEARS} GROUP BY 2, 3")
+def fan_out_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With hours, which bear on question 3 alone."""
+    fan = questions.fan_out(adapters.event_transactions(spark, sf_dir), EVENTS)
+    counts = fan.where("question = 4").select(F.lit("4").alias("semester"), "store_id", "user_id", F.col("purchases").cast("double").alias("tpv"))
+    return questions.totals_of(fan).withColumn("user_id", F.lit("")).unionByName(counts)
+
+
+@query(Q4)
+def fan_out_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fan = questions.fan_out(adapters.line_transactions(spark, sf_dir), YEARS)
+    return questions.birthdays_of(fan, adapters.supplier_stores(spark, sf_dir), adapters.customer_users(spark, sf_dir), YEARS)
+
+
 # Result shapes.
 @query(f"""SELECT semester, '{{"' || semester || '":[' || string_agg('"' || store_id || ',' || printf('%.6f', tpv) || '"', ',' ORDER BY store_id) || ']}}' AS json FROM ({TOTALS}) GROUP BY semester""")
 def q3_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,6 +394,12 @@ def _streamed(spark: SparkSession, run: Callable[[str, str], None]) -> DataFrame
     return spark.read.parquet(out)
 
 
+def _partials(spark: SparkSession, run: Callable[[str, str], None]) -> str:
+    out = fresh_path(spark, "partials")
+    run(out, fresh_path(spark, "stream-checkpoint"))
+    return out
+
+
 @query(_SQL["q1_transactions"])
 def stream_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = adapters.renamed_events(stream_parquet(spark, sf_dir, "events"))
@@ -368,21 +408,101 @@ def stream_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SQL["q2_products"])
 def stream_q2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = adapters.as_items(stream_parquet(spark, sf_dir, "lineitem"))
-    return _streamed(spark, lambda out, at: jobs.stream_month_products(items, adapters.part_menu(spark, sf_dir), YEARS, out, at))
+    items = adapters.as_items(stream_parquet(state_session(spark), sf_dir, "lineitem"))
+    out = _partials(spark, lambda out, at: jobs.stream_month_items(items, YEARS, out, at))
+    return jobs.month_products(spark, out, adapters.part_menu(spark, sf_dir))
 
 
 @query(_SQL["q3_tpv"])
 def stream_q3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = adapters.as_orders(stream_parquet(spark, sf_dir, "orders"), scan_parquet(spark, sf_dir, "customer"))
-    return _streamed(spark, lambda out, at: jobs.stream_semester_totals(orders, YEARS, out, at))
+    session = state_session(spark)
+    orders = adapters.as_orders(stream_parquet(session, sf_dir, "orders"), scan_parquet(session, sf_dir, "customer"))
+    return jobs.semester_totals(spark, _partials(spark, lambda out, at: jobs.stream_semester_totals(orders, YEARS, out, at)))
 
 
 @query(_SQL["q4_top_buyers"])
 def stream_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = adapters.as_line_transactions(stream_parquet(spark, sf_dir, "lineitem"), scan_parquet(spark, sf_dir, "orders"))
-    stores, users = adapters.supplier_stores(spark, sf_dir), adapters.customer_users(spark, sf_dir)
-    return _streamed(spark, lambda out, at: jobs.stream_buyers_birthdays(lines, stores, users, YEARS, out, at))
+    session = state_session(spark)
+    lines = adapters.as_line_transactions(stream_parquet(session, sf_dir, "lineitem"), scan_parquet(session, sf_dir, "orders"))
+    out = _partials(spark, lambda out, at: jobs.stream_store_users(lines, YEARS, out, at))
+    return jobs.buyers_birthdays(spark, out, adapters.supplier_stores(spark, sf_dir), adapters.customer_users(spark, sf_dir), YEARS)
+
+
+# Arrivals: a table dealt into drops that come one after another.
+def _drops(df: DataFrame, drop: str, name: str, count: int) -> str:
+    """A folder with the rows of ``df`` by the number in column ``drop``, which a stream takes in that order."""
+    folder = fresh_path(df.sparkSession, name)
+    for k in range(count):
+        df.where(F.col(drop) == k).drop(drop).write.mode("append").parquet(folder)
+    return folder
+
+
+DROPS = 3
+
+
+@query(f"SELECT semester, store_id, tpv FROM ({TOTALS.replace('1998', '2100').replace('1996', '1900')})")
+def stream_partials_of_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in three arrivals: one partial table a batch, merged when it is read."""
+    orders = adapters.order_transactions(spark, sf_dir).withColumn("_drop", F.pmod(F.hash("transaction_id"), F.lit(DROPS)))
+    folder = _drops(orders, "_drop", "drops", DROPS)
+    rows = state_session(spark).readStream.schema(orders.drop("_drop").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    every = Params(from_year=1900, to_year=2099, from_hour=0, to_hour=23)
+    return jobs.semester_totals(spark, _partials(spark, lambda out, at: jobs.stream_semester_totals(rows, every, out, at)))
+
+
+@query(f"SELECT client_id, semester, store_id, CAST(tpv AS DOUBLE) AS tpv FROM (SELECT o_orderpriority AS client_id, {SEMESTER} AS semester, store_id, sum(CAST(final_amount AS DECIMAL(18,2))) AS tpv FROM ({ORDER_TX}) GROUP BY 1, 2, 3) WHERE client_id NOT LIKE '4%'")
+def stream_client_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of five clients, interleaved in three arrivals; the marks of all but one client's end follow."""
+    orders = adapters.order_transactions(spark, sf_dir, "o_orderpriority")
+    amount = F.col("final_amount").cast("decimal(38,10)")
+    rows = orders.select(F.col("o_orderpriority").alias("client_id"), semester(F.col("created_at")).alias("semester"), "store_id", amount.alias("tpv"), F.lit(False).alias("is_end"), F.pmod(F.hash("transaction_id"), F.lit(DROPS)).alias("_drop"))
+    marks = end_marks(rows.where("client_id NOT LIKE '4%'").select("client_id").distinct(), rows.drop("_drop")).withColumn("_drop", F.lit(DROPS))
+    folder = _drops(rows.unionByName(marks), "_drop", "clients", DROPS + 1)
+    stream = state_session(spark).readStream.schema(rows.drop("_drop").schema).option("maxFilesPerTrigger", 8).parquet(folder)
+    return _streamed(spark, lambda out, at: jobs.stream_client_totals(stream, out, at)).withColumn("tpv", F.col("tpv").cast("double"))
+
+
+def _text_files(lines: DataFrame, part: str, header: str, folder: str) -> str:
+    """Adds to ``folder`` a text file ``part=k`` for each number in column ``part``, a header first; lines (value)."""
+    spark = lines.sparkSession
+    heads = lines.select(part).distinct().select(F.lit(header).alias("value"), part, F.lit(0).alias("_row"))
+    rows = lines.select("value", part, F.lit(1).alias("_row")).unionByName(heads)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, part).sortWithinPartitions(part, "_row", "value").drop("_row").write.mode("append").partitionBy(part).text(folder)
+    return folder
+
+
+def _supplier_files(spark: SparkSession, sf_dir: str) -> str:
+    """Suppliers in four files; the second and last hold lines that are too short."""
+    suppliers = scan_parquet(spark, sf_dir, "supplier").withColumn("part", (F.col("s_suppkey") % 4).cast("int"))
+    short = (F.col("part") == 1) & (F.col("s_suppkey") % 20 == 1) | (F.col("part") == 3) & (F.col("s_suppkey") % 40 == 3)
+    line = F.when(short, F.col("s_name")).otherwise(F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey"))
+    return _text_files(suppliers.select(line.alias("value"), "part"), "part", "store_id,store_name,street", fresh_path(spark, "stores"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS store_id, s_name AS store_name FROM supplier WHERE s_suppkey % 4 IN (0, 2)")
+def ingest_good_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest(spark, _supplier_files(spark, sf_dir), "part", "store").good.drop(ORDER)
+
+
+@query("""SELECT CAST(s_suppkey % 4 AS INTEGER) AS part, count(*) AS n_lines, count(*) FILTER (WHERE short) AS n_bad, min(s_name) FILTER (WHERE short) AS line, 'store: under 3 fields: 1' AS reason
+FROM (SELECT *, s_suppkey % 20 = 1 AND s_suppkey % 4 = 1 OR s_suppkey % 40 = 3 AS short FROM supplier) WHERE s_suppkey % 4 IN (1, 3) GROUP BY 1 HAVING count(*) FILTER (WHERE short) > 0""")
+def ingest_rejected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejects = ingest(spark, _supplier_files(spark, sf_dir), "part", "store").rejects
+    return rejects.select(F.regexp_extract("file", "part=([0-9]+)", 1).cast("int").alias("part"), "n_lines", "n_bad", "line", "reason")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS user_id, 'drop ' || CASE WHEN c_custkey % 3 = 0 THEN 2 WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS birthdate FROM customer")
+def stream_text_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users in three drops of text files, taken as they come: the last line of an id counts."""
+    drop = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), (F.col("c_custkey") % (k + 1) == 0).alias("here")) for k in range(3)))).alias("d")
+    users = scan_parquet(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", drop).where("d.here")
+    lines = users.select(F.concat_ws(",", "c_custkey", "c_mktsegment", F.concat(F.lit("drop "), F.col("d.part").cast("string")), F.lit("x")).alias("value"), F.col("d.part").alias("part"))
+    folder, out, at = fresh_path(spark, "users"), fresh_path(spark, "landed"), fresh_path(spark, "stream-checkpoint")
+    for k in range(3):
+        _text_files(lines.where(F.col("part") == k), "part", "user_id,gender,birthdate,registered_at", folder)
+        land(spark, folder, "part", "users", out, at)
+    return joins.last_wins(landed(spark, out, "users"), "user_id", "birthdate")
 
 
 def queries() -> dict[str, Query]:

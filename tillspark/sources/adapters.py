@@ -46,6 +46,11 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_items(scan_parquet(spark, sf_dir, "lineitem"))
 
 
+def numbered_items(lines: DataFrame) -> DataFrame:
+    """Items whose ids stay numbers."""
+    return as_items(lines).withColumn("item_id", F.col("item_id").cast("bigint"))
+
+
 def as_items(lines: DataFrame, *more: Column) -> DataFrame:
     return lines.select(*more, _text("l_partkey").alias("item_id"), F.col("l_quantity").cast("bigint").alias("quantity"), F.col("l_extendedprice").alias("subtotal"), F.col("l_shipdate").alias("created_at"))
 

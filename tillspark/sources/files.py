@@ -24,6 +24,11 @@ _SPECIAL = re.compile(r"([\\*?\[\]{},])")
 ORDER = "_order"
 
 
+def name_pattern(part: str) -> str:
+    """The glob of file names that contain ``part``."""
+    return f"*{_SPECIAL.sub(r'\\\1', part)}*"
+
+
 def scan_lines(spark: SparkSession, folder: str, pattern: str, blank: bool = False, order: bool = False) -> DataFrame:
     """Lines (value) of every file in ``folder`` whose name contains ``pattern``, without the header lines.
 
@@ -31,7 +36,7 @@ def scan_lines(spark: SparkSession, folder: str, pattern: str, blank: bool = Fal
     such a file is an error.  ``blank`` adds the lines that hold nothing (a second scan, as the first leaves
     them out), so that cleaning can fail on them; ``order`` adds each line's place, by file and line.
     """
-    glob = f"*{_SPECIAL.sub(r'\\\1', pattern)}*"
+    glob = name_pattern(pattern)
     reader = spark.read.schema("value string").option("header", True).option("sep", "\x01").option("quote", "").option("pathGlobFilter", glob)
     lines = reader.csv(folder)
     if not lines.inputFiles():
