@@ -161,7 +161,8 @@ def neighbours(key: np.ndarray, sig: np.ndarray, held: int = 0) -> tuple[np.ndar
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (a, b) of rows (key, sig, doc_id, ...) that come in order; beside them, as rows (border,
-    key, sig, doc_id), the partition's first and last rows, which meet those across its borders."""
+    key, sig, doc_id), the first rows of the partition's first region and the last ones of its last, which meet
+    those across its borders."""
     part = TaskContext.get().partitionId()
     none = pa.schema([("border", pa.int64()), ("key", pa.int64()), ("sig", pa.binary()), ("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -170,7 +171,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, border)), pa.array(key), pa.array([s.tobytes() for s in sig], pa.binary()), pa.array(doc), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=none)
 
     held_key, held_doc, held_sig = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, TREES * DEPTH), np.uint8)
-    head = 0
+    head, first = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -182,12 +183,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(a)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=none)
         if head < WINDOW:
-            new = slice(len(held_key), len(held_key) + WINDOW - head)
+            first = key[0] if first is None else first
+            new = np.flatnonzero(key[len(held_key) :] == first)[: WINDOW - head] + len(held_key)
             yield edge(part - 1, key[new], sig[new], doc[new])
-            head += len(key[new])
+            head = head + len(new) if key[-1] == first else WINDOW
         held_key, held_doc, held_sig = key[-WINDOW:], doc[-WINDOW:], sig[-WINDOW:]
     if len(held_key):
-        yield edge(part, held_key, held_sig, held_doc)
+        last = np.flatnonzero(held_key == held_key[-1])
+        yield edge(part, held_key[last], held_sig[last], held_doc[last])
 
 
 _PAIRS = "border long, key long, sig binary, doc_id long, a long, b long"
