@@ -29,10 +29,12 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("data")
     parser.add_argument("out")
     parser.add_argument("--tables", default=",".join(TABLES))
+    parser.add_argument("--one-file", action="store_true", help="each result as one file results_q{n}.txt, in a folder that all machines mount")
     for f in fields(Params):
         parser.add_argument("--" + f.name.replace("_", "-"), type=type(f.default), default=f.default)
     found = vars(parser.parse_args(args))
     data, out, names = found.pop("data"), found.pop("out"), selected_tables(found.pop("tables"))
+    one_file = found.pop("one_file")
     params = Params(**found)
     spark = SparkSession.builder.appName("tillspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
@@ -51,7 +53,7 @@ def main(args: list[str] | None = None) -> None:
         tables = {n: clean(scan_lines(spark, f"{data}/{n}", "", blank=strict, order=n in SIDES), n, params.bad_rows) for n in names}
         if "transactions" in tables:  # several questions read it: parsed once
             tables["transactions"] = stage(tables["transactions"])
-    write_results(run_all(tables, params, stage), out)
+    write_results(run_all(tables, params, stage), out, one_file)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from ..functions.ids import short_id
 from ..functions.parsing import split_first, to_timestamp
 from ..operators import aggregates, cleaners, filters, joins, ranking
 from ..shared import fresh_path
-from ..sources import adapters
+from ..sources import adapters, messages
+from ..sources.buckets import bucketed_lookup, write_side
+from ..sources.calendar_table import of_months, read_calendar, write_calendar
 from ..sources.files import ORDER, scan_parquet, stream_parquet
 from ..sources.ingest import ingest
 from ..sources.sinks import as_lines, from_semester_json, semester_json
@@ -357,6 +360,59 @@ def fan_out_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.birthdays_of(fan, adapters.supplier_stores(spark, sf_dir), adapters.customer_users(spark, sf_dir), YEARS)
 
 
+# Layouts: tables that are written once for the questions that come.
+@query(_SQL["q1_transactions"])
+def q1_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a folder a month, in order of the hour."""
+    path = fresh_path(spark, "calendar")
+    write_calendar(adapters.event_transactions(spark, sf_dir), path)
+    found = filters.filter_amount(read_calendar(spark, path, EVENTS), EVENTS.min_amount)
+    return found.drop("year_month", "hour_of_day")
+
+
+@query(f"SELECT year_month, store_id, count(*) AS n FROM (SELECT {MONTH} AS year_month, store_id FROM ({ORDER_TX})) WHERE year_month IN (SELECT DISTINCT {MONTH.replace('created_at', 'l_shipdate')} FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-01' AND l_shipdate < TIMESTAMP '1997-06-01') GROUP BY 1, 2")
+def calendar_of_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months that another table names; only their folders are read."""
+    path = fresh_path(spark, "calendar")
+    write_calendar(adapters.order_transactions(spark, sf_dir), path)
+    lines = scan_parquet(spark, sf_dir, "lineitem").where("l_shipdate >= TIMESTAMP_NTZ '1997-03-01' AND l_shipdate < TIMESTAMP_NTZ '1997-06-01'")
+    months = lines.select(year_month(F.col("l_shipdate")).alias("year_month"))
+    return of_months(read_calendar(spark, path), months).groupBy("year_month", "store_id").agg(F.count("*").alias("n"))
+
+
+@query(Q4)
+def q4_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users are written once by their id; the join leaves them where they are."""
+    name = f"users_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_side(adapters.customer_users(spark, sf_dir), "user_id", "birthdate", name, fresh_path(spark, "users"), buckets)
+    top = joins.join_stores(ranking.top_buyers(_counts(spark, sf_dir), 3).select("store_id", "user_id", "rank"), adapters.supplier_stores(spark, sf_dir))
+    return bucketed_lookup(top, spark, name, "user_id", "birthdate")
+
+
+# Messages: all tables on one stream of text.
+MESSAGE_LINES = (
+    f"SELECT 'transactions' AS type, transaction_id || ',' || store_id || ',' || user_id || ',' || printf('%.6f', final_amount) || ',' || strftime(created_at, '%Y-%m-%d %H:%M:%S') AS line FROM ({EVENT_TX})"
+    f" UNION ALL SELECT 'transaction_items', item_id || ',' || quantity || ',' || printf('%.6f', subtotal) || ',' || strftime(created_at, '%Y-%m-%d %H:%M:%S') FROM ({ITEMS})"
+    " UNION ALL SELECT 'menu', p_partkey || ',' || p_name FROM part UNION ALL SELECT 'store', s_suppkey || ',' || s_name FROM supplier UNION ALL SELECT 'users', c_custkey || ',' || c_name FROM customer"
+)
+
+
+@query(MESSAGE_LINES)
+def messages_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of five tables as a message, routed to its table in one pass, and typed again."""
+    tables = {"transactions": adapters.event_transactions(spark, sf_dir), "transaction_items": adapters.line_items(spark, sf_dir), "menu": adapters.part_menu(spark, sf_dir), "store": adapters.supplier_stores(spark, sf_dir), "users": adapters.customer_users(spark, sf_dir)}
+    path = fresh_path(spark, "messages")
+    messages.route(messages.encode(tables, F.lit("c1")).unionByName(messages.end_of(spark, list(tables), "c1")), path)
+    out = None
+    for name in tables:
+        rows = messages.routed(spark, path, name)
+        times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c, t in rows.dtypes if t == "timestamp_ntz"}
+        lines = as_lines(rows.drop("client").withColumns(times)).select(F.lit(name).alias("type"), "line")
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
 # Result shapes.
 @query(f"""SELECT semester, '{{"' || semester || '":[' || string_agg('"' || store_id || ',' || printf('%.6f', tpv) || '"', ',' ORDER BY store_id) || ']}}' AS json FROM ({TOTALS}) GROUP BY semester""")
 def q3_json(spark: SparkSession, sf_dir: str) -> DataFrame:

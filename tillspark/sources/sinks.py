@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .result_file import write_file
+
 
 def as_lines(df: DataFrame, *columns: str) -> DataFrame:
     """One comma-separated line per row; doubles with six decimals."""
@@ -36,9 +38,12 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select(F.col(lines.columns[0]).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_results(results: dict[int, DataFrame], folder: str) -> None:
-    """Lines of each numbered question to ``folder``/results_q{n}."""
+def write_results(results: dict[int, DataFrame], folder: str, one_file: bool = False) -> None:
+    """Lines of each numbered question to the folder ``folder``/results_q{n}, or the file results_q{n}.txt."""
     if unknown := [n for n in results if n not in (1, 2, 3, 4)]:
         raise ValueError(f"no such question: {unknown}")
     for n, df in results.items():
-        write_lines(as_lines(df), f"{folder}/results_q{n}")
+        if one_file:
+            write_file(as_lines(df), f"{folder}/results_q{n}.txt")
+        else:
+            write_lines(as_lines(df), f"{folder}/results_q{n}")
