@@ -24,15 +24,6 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def plan_metric(df, name: str) -> int:
-    """A metric of the plan's first scan, as run."""
-    df.collect()
-    node = df._jdf.queryExecution().executedPlan()
-    while not node.nodeName().startswith("Scan parquet"):
-        node = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.children().head()
-    return node.metrics().apply(name).value()
-
-
 def found(df):
     return sorted(map(str, map(tuple, df.collect())))
 
@@ -79,11 +70,13 @@ def test_calendar_reads_the_months_asked(spark, sf, tmp_path):
     assert found(got.select(orders.columns)) == found(filters.filter_year(orders, 1996, 1996))
     plan = plan_of(got)
     assert "PartitionFilters: [isnotnull(year_month" in plan and "GreaterThanOrEqual(hour_of_day,0)" in plan
-    scan = got.select(F.input_file_name().alias("f")).distinct().collect()
-    assert {r.f.split("year_month=")[1][:4] for r in scan} == {"1996"}
-    # months of other years aren't read
-    assert int(plan_metric(got, "numPartitions")) == len({r.f.split("year_month=")[1][:7] for r in scan})
     assert read_calendar(spark, path).count() == orders.count()
+    # files of other years may be anything, as they aren't opened
+    for file in (tmp_path / "calendar").glob("year_month=*/*.parquet"):
+        if "year_month=1996" not in str(file):
+            file.write_bytes(b"not a table")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert got.count() == filters.filter_year(orders, 1996, 1996).count()
 
 
 def test_months_are_chosen_as_the_query_runs(spark, sf, tmp_path):
