@@ -40,9 +40,9 @@ FEATURES = 5
 BROADCAST_CELLS = 10_000
 
 
-def _small(side: DataFrame) -> DataFrame:
-    """``side``, a table read from files, marked for broadcast if it has few rows: cells are uneven."""
-    return F.broadcast(side) if side.count() <= BROADCAST_CELLS else side
+def _small(side: DataFrame, few: bool) -> DataFrame:
+    """``side``, of a row a cell (or a cell and start), marked for broadcast if cells are few: they are uneven."""
+    return F.broadcast(side) if few else side
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -93,16 +93,31 @@ def transformed() -> list[Column]:
     ]
 
 
-def _cells(rows: DataFrame, least_cell: int) -> DataFrame:
-    """``rows`` with the cell in which each is estimated."""
-    lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in ("lang", "source"))
+def _parts() -> tuple[Column, Column]:
+    """Language and source, with null apart from the empty string."""
+    return tuple(F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in ("lang", "source"))
+
+
+def _cell_table(rows: DataFrame, least_cell: int) -> DataFrame:
+    """The cell in which each language and source is estimated."""
+    lang, source = _parts()
     counts = staged(rows.groupBy(lang.alias("_l"), source.alias("_s")).count(), "counts")
     few = F.col("count") < least_cell
     by_lang = counts.where(few).groupBy("_l").agg(F.sum("count").alias("_n"))
     counts = counts.join(by_lang, "_l", "left")
     cell = F.when(~few, F.concat_ws("\x1f", "_l", "_s")).when(F.col("_n") >= least_cell, F.col("_l")).otherwise("\x1e")
-    cells = _small(staged(counts.select("_l", "_s", cell.alias("cell")), "cells"))
-    return rows.withColumns({"_l": lang, "_s": source}).join(cells, ["_l", "_s"]).drop("_l", "_s")
+    return staged(counts.select("_l", "_s", cell.alias("cell")), "cells")
+
+
+def _cells(rows: DataFrame, least_cell: int) -> DataFrame:
+    """``rows`` with the cell in which each is estimated."""
+    table = _cell_table(rows, least_cell)
+    return _in_cells(rows, table, table.count() <= BROADCAST_CELLS)
+
+
+def _in_cells(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    lang, source = _parts()
+    return rows.withColumns({"_l": lang, "_s": source}).join(_small(table, few), ["_l", "_s"]).drop("_l", "_s")
 
 
 def _x(i: int) -> str:
@@ -116,11 +131,11 @@ def _sum(terms) -> Column:
 KEY = ["cell", "start"]
 
 
-def _distances(rows: DataFrame, shape: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, shape: DataFrame, few: bool = True) -> DataFrame:
     """``rows`` with d2, the squared distance under the centre (m) and inverse factor (v) of their key."""
     parts = [_sum(F.col(f"v{i}{j}") * (F.col(_x(j)) - F.col(f"m{j}")) for j in range(i + 1)) for i in range(FEATURES)]
     key = [c for c in KEY if c in rows.columns]
-    joined = rows.join(_small(shape), key)
+    joined = rows.join(_small(shape, few), key)
     return joined.select(*rows.columns, _sum(p * p for p in parts).alias("d2"))
 
 
@@ -147,15 +162,15 @@ def _shape(rows: DataFrame) -> DataFrame:
     return _factored(rows.groupBy(*KEY).agg(*means, *covs))
 
 
-def _starts(rows: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
     """The first shapes of each cell: ``STARTS`` scatters about the medians."""
     n = range(FEATURES)
     medians = staged(rows.groupBy("cell").agg(*(F.percentile_approx(_x(i), 0.5).alias(f"m{i}") for i in n)), "medians")
-    off = rows.join(_small(medians), "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(_x(i)) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i in n))
+    off = rows.join(_small(medians, few), "cell").groupBy("cell").agg(*(F.percentile_approx(F.abs(F.col(_x(i)) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i in n))
     scales = off.select("cell", *(F.sqrt(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i]).alias(f"s{i}") for i in n))
     centres = staged(medians.join(scales, "cell"), "centres")
     z = [((F.col(_x(i)) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in n]
-    scaled = rows.join(_small(centres), "cell").select("cell", *z)
+    scaled = rows.join(_small(centres, few), "cell").select("cell", *z)
     scaled = scaled.withColumn("_norm", F.sqrt(F.greatest(_sum(F.col(f"z{i}") * F.col(f"z{i}") for i in n), F.lit(1e-9))))
 
     def products(start: int, of) -> list[Column]:
@@ -175,37 +190,43 @@ def _starts(rows: DataFrame) -> DataFrame:
     return _factored(staged(out, "starts"))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """The minimum-determinant shape of each cell of ``rows`` (cell and the transformed statistics)."""
+def estimates(rows: DataFrame, few: bool = True) -> DataFrame:
+    """The minimum-determinant shape of each cell of ``rows`` (cell and the transformed statistics).
+
+    A step is two passes: the distance that the nearest share lies within, and the shape of that share, which
+    stays if its determinant is the least so far.
+    """
     every = rows.select("cell", *(_x(i) for i in range(FEATURES))).withColumn("start", F.explode(F.array(*map(F.lit, range(STARTS)))))
-    shape = staged(_starts(rows), "shape")
-    best = None
+    best = staged(_starts(rows, few), "shape")
+    fields = [c for c in best.columns if c not in KEY]
+    first = True
     while True:
-        near = _distances(every, shape)
+        near = _distances(every, best, few)
         edge = staged(near.groupBy(*KEY).agg(F.percentile_approx("d2", SUPPORT).alias("_edge")), "edge")
-        shape = staged(_shape(near.join(_small(edge), KEY).where("d2 <= _edge")), "shape")
-        if best is None:
-            best = shape
-            continue
-        fallen = shape.select(*KEY, "logdet").join(best.select(*KEY, F.col("logdet").alias("_least")), KEY).where(F.col("logdet") < F.col("_least") - FALL)
-        if fallen.isEmpty():
+        shape = _shape(near.join(_small(edge, few), KEY).where("d2 <= _edge"))
+        # the first shapes are of other scales, so that they aren't compared
+        fell = F.lit(True) if first else F.col("new.logdet") < F.col("old.logdet") - FALL
+        lower = F.lit(True) if first else F.col("new.logdet") < F.col("old.logdet")
+        both = shape.select(*KEY, F.struct(*fields).alias("new")).join(best.select(*KEY, F.struct(*fields).alias("old")), KEY)
+        step = staged(both.select(*KEY, F.when(lower, F.col("new")).otherwise(F.col("old")).alias("b"), fell.alias("_fell")), "shape")
+        best = step.select(*KEY, "b.*")
+        if not first and step.where("_fell").isEmpty():
             break
-        # determinants only fall, and not below that of the floors
-        fields = [c for c in shape.columns if c not in KEY]
-        both = best.unionByName(shape).groupBy(*KEY).agg(F.min_by(F.struct(*fields), "logdet").alias("b"))
-        best = staged(both.select(*KEY, "b.*"), "best")
-    return best.groupBy("cell").agg(F.min_by(F.struct(*(c for c in best.columns if c not in KEY)), F.struct("logdet", "start")).alias("b")).select("cell", "b.*")
+        first = False
+    return best.groupBy("cell").agg(F.min_by(F.struct(*fields), F.struct("logdet", "start")).alias("b")).select("cell", "b.*")
 
 
 def outliers(stats: DataFrame, least_cell: int = LEAST_CELL) -> DataFrame:
     """``stats`` (with lang and source) with distance2, null for rows that fail the base rules."""
     own = stats.columns
-    rows = _cells(stats.where(~base_failed()), least_cell).withColumns({_x(i): x for i, x in enumerate(transformed())})
-    rows = staged(rows, "cells")
-    near = _distances(rows, staged(estimates(rows), "estimates"))
+    rows = stats.where(~base_failed())
+    table = _cell_table(rows, least_cell)
+    few = table.count() <= BROADCAST_CELLS
+    rows = staged(_in_cells(rows, table, few).withColumns({_x(i): x for i, x in enumerate(transformed())}), "cells")
+    near = _distances(rows, staged(estimates(rows, few), "estimates"), few)
     middle = staged(near.groupBy("cell").agg(F.percentile_approx("d2", 0.5).alias("_median")), "middle")
     scaled = F.col("d2") * CHI_MEDIAN / F.greatest("_median", F.lit(1e-9))
-    judged = near.join(_small(middle), "cell").select(*own, scaled.alias("distance2"))
+    judged = near.join(_small(middle, few), "cell").select(*own, scaled.alias("distance2"))
     return judged.unionByName(stats.where(base_failed()).withColumn("distance2", F.lit(None).cast("double")))
 
 
