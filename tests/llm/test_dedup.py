@@ -116,6 +116,21 @@ def edited(seed: int, text: str, edits: int) -> str:
     return " ".join(words)
 
 
+def test_an_arrival_that_is_repeated_counts_once(spark, docs, texts, tmp_path):
+    """A call fails after landing, or while it lands; called again with its number, it gives the same."""
+    state = str(tmp_path / "state")
+    half = docs.where("doc_id < 8")
+    exact.arrivals(half, f"{state}/landing", arrival=0)
+    expected = sorted(map(tuple, exact.exact_dedup(half).collect()), key=str)
+    for _ in range(2):
+        assert sorted(map(tuple, exact.exact_dedup(half, state=state, arrival=0).collect()), key=str) == expected
+    # the second arrival is cut off before it is noted
+    landing = spark.read.parquet(f"{state}/landing").drop("arrival").limit(3)
+    landing.write.parquet(f"{state}/landing/arrival=1")
+    got = exact.exact_dedup(docs.where("doc_id >= 8"), state=state, arrival=1)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, exact.exact_dedup(docs).collect()), key=str)
+
+
 @pytest.mark.parametrize("limit", [near.CLUSTER_SHINGLES, 100])
 def test_near_duplicates_in_dense_groups(spark, limit):
     """Groups of copies that are linked with their base, and not always with each other."""

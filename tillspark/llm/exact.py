@@ -14,8 +14,10 @@ stays (its keep_id is null); an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BROADCAST_IDS, fresh_path, staged
 
@@ -37,32 +39,38 @@ def digest(text: Column, bits: int = 256) -> Column:
     return F.substring(F.sha2(normalised(text), 256), 1, bits // 4)
 
 
-def arrivals(docs: DataFrame, path: str, bits: int = 256) -> DataFrame:
+def arrivals(docs: DataFrame, path: str, bits: int = 256, arrival: int | None = None) -> DataFrame:
     """The landing table at ``path`` with the rows of ``docs`` added: digest, doc_id, n_cp (code points of the
-    text), arrival and row (the content locator) and text."""
+    text), row (with arrival, the content locator), text and arrival.
+
+    An arrival lands in a partition of its number, the next one by default, and is noted once it is there whole.
+    A call that was cut off before that is replaced; the stream hasn't read its rows.  A caller that may repeat
+    a call gives its arrivals numbers: one that is noted isn't added again.
+    """
     spark = docs.sparkSession
-    number = F.lit(_arrived(spark, path)).alias("arrival")
     n_cp = F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_cp")
-    rows = docs.select(digest(F.col("text"), bits).alias("digest"), "doc_id", n_cp, number, F.monotonically_increasing_id().alias("row"), "text")
-    rows.write.mode("append").option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-def _found(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    rows = docs.select(digest(F.col("text"), bits).alias("digest"), "doc_id", n_cp, F.monotonically_increasing_id().alias("row"), "text")
+    schema = T.StructType([*rows.schema.fields, T.StructField("arrival", T.IntegerType())])
+    notes = f"{path}-arrivals"
+    noted = {r["arrival"] for r in _found(spark, "arrival int", notes).collect()}
+    number = max(noted, default=-1) + 1 if arrival is None else arrival
+    if number not in noted:
+        numbered = rows.withColumn("arrival", F.lit(number).cast("int"))
+        numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("arrival").parquet(path)
+        spark.createDataFrame([(number,)], "arrival int").coalesce(1).write.mode("append").parquet(notes)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _found(spark: SparkSession, schema: str | T.StructType, path: str) -> DataFrame:
     """The table at ``path``, or one without rows if nothing was written there."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def _arrived(spark: SparkSession, path: str) -> int:
-    last = _found(spark, "arrival int", path).agg(F.max("arrival").alias("last")).first()["last"]
-    return 0 if last is None else last + 1
-
-
 def best() -> Column:
     """The row that stays of those with one text."""
     return F.max(F.struct("n_cp", (-F.col("doc_id")).alias("id"), (-F.col("arrival")).alias("arrival"), (-F.col("row")).alias("row"))).alias("best")
@@ -99,15 +107,16 @@ def exact_groups(landing: DataFrame, path: str, files_per_batch: int = 1000, sta
     return found.groupBy("digest").agg(F.max(F.struct("group_size", "best")).alias("s")).select("digest", "s.best", "s.group_size")
 
 
-def exact_dedup(docs: DataFrame, bits: int = 256, state: str | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, bits: int = 256, state: str | None = None, arrival: int | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     ``state``: a shared folder that keeps landing table and state; the result then covers all that arrived
-    there so far.
+    there so far.  With the number of the ``arrival``, a call that is repeated after a failure counts no row
+    twice.
     """
     state = state or fresh_path(docs.sparkSession, "arrivals")
     path = f"{state}/landing"
-    landing = arrivals(docs, path, bits)
+    landing = arrivals(docs, path, bits, arrival)
     groups = staged(exact_groups(landing, path, state=state), "groups")
     hits = groups.where("group_size > 1").select("digest")
     if hits.count() <= BROADCAST_IDS // 4:  # a digest is as long as some ids
