@@ -157,6 +157,173 @@ NOTICES = [
     ("dual", "dual licen[cs]ed under", "dual licen", 1, 0.5),
 ]
 
+#: Licences that are known by their names: label, regex, keyword, priority, weight.
+NAMED = [
+    ("aladdin", "aladdin free public licen[cs]e", "aladdin", 2, 0.85),
+    ("apsl", "apple public source licen[cs]e", "apple public source", 2, 0.85),
+    ("attribution-assurance", "attribution assurance licen[cs]e", "attribution assurance", 2, 0.85),
+    ("blueoak", "blue oak model licen[cs]e(?: 1 0 0)?", "blue oak", 2, 0.85),
+    ("bittorrent", "bittorrent open source licen[cs]e", "bittorrent", 2, 0.85),
+    ("cpal", "common public attribution licen[cs]e(?: version)?(?: 1 0)?", "public attribution", 2, 0.85),
+    ("catosl", "computer associates trusted open source licen[cs]e", "computer associates", 2, 0.85),
+    ("cua-opl", "cua office public licen[cs]e", "cua office", 2, 0.85),
+    ("cern-ohl", "cern open hardware licen[cs]e(?: version)?(?: [12](?: [012])?)?(?: (?:permissive|weakly reciprocal|strongly reciprocal))?", "open hardware", 2, 0.85),
+    ("cnri-python", "cnri (?:open source licen[cs]e agreement|python licen[cs]e)", "cnri", 2, 0.85),
+    ("crypt", "cryptix general licen[cs]e", "cryptix", 2, 0.85),
+    ("d-fsl", "deutsche freie software lizenz under this licen[cs]e", "freie software", 2, 0.85),
+    ("efl", "eiffel forum licen[cs]e(?: version)?(?: [12])?", "eiffel forum", 2, 0.85),
+    ("entessa", "entessa public licen[cs]e", "entessa", 2, 0.85),
+    ("ecos", "ecos licen[cs]e(?: version 2 0)?", "ecos licen", 2, 0.85),
+    ("ecl", "educational community licen[cs]e(?: version)?(?: [12] 0)?", "educational community", 2, 0.85),
+    ("erlang", "erlang public licen[cs]e(?: 1 1)?", "erlang public", 2, 0.85),
+    ("eudatagrid", "eu datagrid software licen[cs]e", "datagrid", 2, 0.85),
+    ("fair", "(?:the )?fair licen[cs]e (?:fair|usage of the works)", "fair licen", 2, 0.85),
+    ("frameworx", "frameworx open licen[cs]e", "frameworx", 2, 0.85),
+    ("freetype", "(?:the )?freetype (?:project )?licen[cs]e", "freetype", 2, 0.85),
+    ("giftware", "(?:the )?giftware licen[cs]e", "giftware", 2, 0.85),
+    ("gust-font", "gust font licen[cs]e", "gust font", 2, 0.85),
+    ("hippocratic", "hippocratic licen[cs]e(?: [123] [01])?", "hippocratic", 2, 0.85),
+    ("hpnd", "historical permission notice and disclaimer licen[cs]e?", "historical permission", 2, 0.85),
+    ("ipl", "ibm public licen[cs]e(?: 1 0)?", "ibm public", 2, 0.85),
+    ("imagemagick", "imagemagick licen[cs]e", "imagemagick", 2, 0.85),
+    ("ijg", "independent jpeg group(?: s)? licen[cs]e", "jpeg group", 2, 0.85),
+    ("info-zip", "info ?zip licen[cs]e", "zip licen", 2, 0.85),
+    ("intel", "intel open source licen[cs]e", "intel open", 2, 0.85),
+    ("interbase", "interbase public licen[cs]e", "interbase", 2, 0.85),
+    ("ipa", "ipa font licen[cs]e(?: agreement)?(?: v1 0)?", "ipa font", 2, 0.85),
+    ("jasper", "jasper licen[cs]e(?: version 2 0)?", "jasper licen", 2, 0.85),
+    ("libpng", "(?:png reference library|libpng) licen[cs]e(?: version 2)?", "png", 2, 0.85),
+    ("lal", "(?:free art licen[cs]e|licen[cs]e art libre)(?: 1 [23])?", "art", 2, 0.85),
+    ("lpl", "lucent public licen[cs]e(?: version)?(?: 1 0(?: 2)?)?", "lucent public", 2, 0.85),
+    ("miros", "(?:the )?miros licen[cs]e", "miros", 2, 0.85),
+    ("motosoto", "motosoto(?: open source)? licen[cs]e", "motosoto", 2, 0.85),
+    ("mulan", "mulan (?:permissive software|public) licen[cs]e(?: version)?(?: [12])?", "mulan", 2, 0.85),
+    ("nasa", "nasa open source agreement under this licen[cs]e", "nasa open", 2, 0.85),
+    ("naumen", "naumen public licen[cs]e", "naumen", 2, 0.85),
+    ("net-snmp", "net snmp licen[cs]e", "snmp", 2, 0.85),
+    ("npl", "netscape public licen[cs]e(?: version)?(?: 1 [01])?", "netscape public", 2, 0.85),
+    ("ngpl", "nethack general public licen[cs]e", "nethack", 2, 0.85),
+    ("nokia", "nokia open source licen[cs]e", "nokia open", 2, 0.85),
+    ("nposl", "non ?profit open software licen[cs]e(?: 3 0)?", "profit open software", 2, 0.85),
+    ("nosl", "netizen open source licen[cs]e", "netizen", 2, 0.85),
+    ("ntp", "ntp licen[cs]e(?: attribution)?", "ntp licen", 2, 0.85),
+    ("oclc", "oclc research public licen[cs]e(?: 2 0)?", "oclc research", 2, 0.85),
+    ("ogtsl", "open group test suite licen[cs]e", "test suite licen", 2, 0.85),
+    ("ogl", "open government licen[cs]e(?: v?[123] 0)?", "open government", 2, 0.85),
+    ("opl", "open publication licen[cs]e(?: v?(?:0 4|1 0))?", "open publication", 2, 0.85),
+    ("oldap", "(?:the )?openldap public licen[cs]e(?: version)?(?: 2 [0-8])?", "openldap", 2, 0.85),
+    ("parity", "parity public licen[cs]e(?: [67] 0 0)?", "parity public", 2, 0.85),
+    ("polyform", "polyform (?:noncommercial|non commercial|small business|shield|strict|perimeter|internal use|free trial) licen[cs]e(?: 1 0 0)?", "polyform", 2, 0.85),
+    ("prosperity", "prosperity public licen[cs]e(?: 3 0 0)?", "prosperity public", 2, 0.85),
+    ("commons-clause", "commons clause licen[cs]e(?: condition)?(?: v1 0)?", "commons clause", 2, 0.85),
+    ("rpl", "reciprocal public licen[cs]e(?: 1 [15])?", "reciprocal public", 2, 0.85),
+    ("rpsl", "realnetworks public source licen[cs]e", "realnetworks", 2, 0.85),
+    ("rscpl", "ricoh source code public licen[cs]e", "ricoh", 2, 0.85),
+    ("sleepycat", "(?:the )?sleepycat(?: software product)? licen[cs]e", "sleepycat", 2, 0.85),
+    ("simpl", "simple public licen[cs]e(?: 2 0)?", "simple public", 2, 0.85),
+    ("spl", "sun public licen[cs]e(?: version)?(?: 1 0)?", "sun public", 2, 0.85),
+    ("sissl", "sun industry standards source licen[cs]e", "industry standards source", 2, 0.85),
+    ("watcom", "sybase open watcom public licen[cs]e(?: 1 0)?", "watcom", 2, 0.85),
+    ("tcl", "tcl(?: tk)? licen[cs]e", "tcl", 2, 0.85),
+    ("tmate", "tmate open source licen[cs]e", "tmate", 2, 0.85),
+    ("torque", "torque v2 5 software licen[cs]e", "torque", 2, 0.85),
+    ("upl", "universal permissive licen[cs]e(?: v?1 0)?", "universal permissive", 2, 0.85),
+    ("unicode", "unicode (?:licen[cs]e agreement data files and software|terms of use licen[cs]e|licen[cs]e)", "unicode", 2, 0.85),
+    ("ucl", "upstream compatibility licen[cs]e(?: v?1 0)?", "upstream compatibility", 2, 0.85),
+    ("vovida", "vovida software licen[cs]e(?: v?1 0)?", "vovida", 2, 0.85),
+    ("wxwindows", "wxwindows library licen[cs]e(?: version 3(?: 1)?)?", "wxwindows", 2, 0.85),
+    ("xnet", "x net licen[cs]e", "x net licen", 2, 0.85),
+    ("xfree86", "xfree86 licen[cs]e(?: 1 1)?", "xfree86", 2, 0.85),
+    ("ypl", "yahoo public licen[cs]e(?: 1 [01])?", "yahoo public", 2, 0.85),
+    ("zed", "(?:the )?zed licen[cs]e", "zed licen", 2, 0.85),
+    ("zend", "zend(?: engine)? licen[cs]e(?: v?2 0)?", "zend", 2, 0.85),
+    ("0bsd", "(?:bsd zero clause|zero clause bsd|0bsd|free public) licen[cs]e(?: 1 0 0)?", "licen", 2, 0.85),
+    ("bzip2", "bzip2(?: and libbzip2)? licen[cs]e(?: v?1 0 [56])?", "bzip2", 2, 0.85),
+    ("libtiff", "libtiff licen[cs]e", "libtiff", 2, 0.85),
+    ("noweb", "noweb licen[cs]e", "noweb", 2, 0.85),
+    ("npsl", "nmap public source licen[cs]e", "nmap", 2, 0.85),
+    ("odc-by", "open data commons attribution licen[cs]e(?: v?1 0)?", "data commons attribution", 2, 0.85),
+    ("odc", "open data commons licen[cs]e", "open data commons", 2, 0.85),
+    ("cdla", "community data licen[cs]e agreement(?: (?:permissive|sharing))?(?: version)?(?: [12] 0)?", "community data", 2, 0.85),
+    ("llama", "(?:meta )?llama [234](?: [123])? community licen[cs]e(?: agreement)?", "llama", 2, 0.85),
+    ("openrail", "(?:bigscience |bigcode |creativeml )?open ?rail(?: m)? licen[cs]e", "rail", 2, 0.85),
+    ("bigscience-rail", "bigscience rail licen[cs]e(?: v?1 0)?", "bigscience rail", 2, 0.85),
+    ("gemma", "gemma (?:terms of use )?licen[cs]e", "gemma", 2, 0.85),
+    ("falcon", "falcon (?:180b|llm|2) tii licen[cs]e", "falcon", 2, 0.85),
+    ("apple-sample", "apple sample (?:source )?code licen[cs]e", "apple sample", 2, 0.85),
+    ("android-sdk", "android software development kit licen[cs]e agreement", "development kit licen", 2, 0.85),
+    ("otn", "oracle technology network licen[cs]e agreement", "oracle technology", 2, 0.85),
+    ("oracle-nftc", "oracle no fee terms and conditions licen[cs]e", "oracle no fee", 2, 0.85),
+    ("sun-bcl", "(?:sun microsystems inc |oracle )?binary code licen[cs]e agreement", "binary code", 2, 0.85),
+    ("ms-terms", "microsoft software licen[cs]e(?: terms)?", "microsoft software", 2, 0.85),
+    ("ms-shared", "microsoft (?:limited public|limited reciprocal|shared source|reference source) licen[cs]e", "microsoft", 2, 0.85),
+    ("nvidia", "nvidia (?:software|cuda toolkit|source code|open model) licen[cs]e(?: agreement)?", "nvidia", 2, 0.85),
+    ("unsplash", "unsplash licen[cs]e", "unsplash", 2, 0.85),
+    ("pixabay", "pixabay(?: content)? licen[cs]e", "pixabay", 2, 0.85),
+    ("pexels", "pexels licen[cs]e", "pexels", 2, 0.85),
+    ("dsl", "design science licen[cs]e", "design science", 2, 0.85),
+    ("against-drm", "against drm licen[cs]e(?: 2 0)?", "against drm", 2, 0.85),
+    ("ppl", "peer production licen[cs]e", "peer production", 2, 0.85),
+    ("anti-996", "anti 996 licen[cs]e(?: version 1 0)?", "anti 996", 2, 0.85),
+    ("do-no-harm", "do no harm licen[cs]e", "no harm licen", 2, 0.85),
+    ("jython", "jython licen[cs]e", "jython", 2, 0.85),
+    ("gcc-exception", "gcc runtime library exception to the licen[cs]e", "gcc runtime", 2, 0.85),
+    ("classpath-exception", "classpath exception to the licen[cs]e", "classpath", 2, 0.85),
+    ("font-exception", "font exception to the licen[cs]e", "font exception", 2, 0.85),
+    ("autoconf-exception", "autoconf (?:configure script )?exception to the licen[cs]e", "autoconf", 2, 0.85),
+    ("bison-exception", "bison exception to the licen[cs]e", "bison exception", 2, 0.85),
+    ("syscall-note", "linux syscall note to the licen[cs]e", "syscall", 2, 0.85),
+    ("llvm-exception", "llvm exceptions? to the (?:apache )?licen[cs]e", "llvm", 2, 0.85),
+    ("foss-exception", "universal foss exception to the licen[cs]e", "foss exception", 2, 0.85),
+    ("qt-exception", "(?:the )?qt (?:company )?lgpl exception to the licen[cs]e", "lgpl exception", 2, 0.85),
+    ("qt-commercial", "qt commercial licen[cs]e(?: agreement)?", "qt commercial", 2, 0.85),
+    ("gpl-cc", "gpl cooperation commitment licen[cs]e", "cooperation commitment", 2, 0.85),
+    ("adobe", "adobe (?:glyph list|postscript amd|source code|display postscript) licen[cs]e", "adobe", 2, 0.85),
+    ("afmparse", "afmparse licen[cs]e", "afmparse", 2, 0.85),
+    ("amdplpa", "amd(?: s)? plpa map c licen[cs]e", "plpa", 2, 0.85),
+    ("apafml", "adobe postscript afm licen[cs]e", "afm licen", 2, 0.85),
+    ("artistic-perl", "(?:the )?perl artistic licen[cs]e", "perl artistic", 2, 0.85),
+    ("bsd-patent", "bsd (?:plus patent|2 clause plus patent|2 clause patent) licen[cs]e", "patent licen", 2, 0.85),
+    ("bsd-clear", "(?:the )?clear bsd licen[cs]e", "clear bsd", 2, 0.85),
+    ("bsd-lbnl", "lawrence berkeley national labs bsd(?: variant)? licen[cs]e", "berkeley", 2, 0.85),
+    ("clartistic", "clarified artistic licen[cs]e", "clarified artistic", 2, 0.85),
+    ("condor", "condor public licen[cs]e(?: v?1 [01])?", "condor public", 2, 0.85),
+    ("dotseqn", "dotseqn licen[cs]e", "dotseqn", 2, 0.85),
+    ("doc", "doc software licen[cs]e", "doc software", 2, 0.85),
+    ("egenix", "egenix com public licen[cs]e(?: 1 1 0)?", "egenix", 2, 0.85),
+    ("etalab", "etalab open licen[cs]e(?: 2 0)?", "etalab", 2, 0.85),
+    ("eurosym", "eurosym licen[cs]e", "eurosym", 2, 0.85),
+    ("gl2ps", "gl2ps licen[cs]e", "gl2ps", 2, 0.85),
+    ("glide", "3dfx glide licen[cs]e", "glide", 2, 0.85),
+    ("glulxe", "glulxe licen[cs]e", "glulxe", 2, 0.85),
+    ("gsoap", "gsoap public licen[cs]e(?: v?1 3(?: b)?)?", "gsoap", 2, 0.85),
+    ("haskell-report", "haskell language report licen[cs]e", "haskell", 2, 0.85),
+    ("icu", "icu licen[cs]e", "icu licen", 2, 0.85),
+    ("iec", "iec code components end user licen[cs]e", "code components", 2, 0.85),
+    ("isc-veillard", "isc veillard(?: variant)? licen[cs]e", "veillard", 2, 0.85),
+    ("japan-standard", "japan network information center licen[cs]e", "network information center", 2, 0.85),
+    ("knuth", "knuth ctan licen[cs]e", "knuth", 2, 0.85),
+    ("latex2e", "latex2e licen[cs]e", "latex2e", 2, 0.85),
+    ("leptonica", "leptonica licen[cs]e", "leptonica", 2, 0.85),
+    ("lgpllr", "lesser general public licen[cs]e for linguistic resources", "linguistic resources", 2, 0.85),
+    ("liliq", "licence libre du quebec (?:permissive|reciprocite)(?: v1 1)?", "libre du quebec", 2, 0.85),
+    ("makeindex", "makeindex licen[cs]e", "makeindex", 2, 0.85),
+    ("mtll", "matrix template library licen[cs]e", "matrix template", 2, 0.85),
+    ("mup", "mup licen[cs]e", "mup licen", 2, 0.85),
+    ("openvision", "open ?vision licen[cs]e", "vision licen", 2, 0.85),
+    ("oset-pl", "oset public licen[cs]e(?: version)?(?: 2 1)?", "oset public", 2, 0.85),
+    ("plexus", "plexus classworlds licen[cs]e", "plexus", 2, 0.85),
+    ("psutils", "psutils licen[cs]e", "psutils", 2, 0.85),
+    ("sgi-b", "sgi free software licen[cs]e(?: b)?(?: v?(?:1 [01]|2 0))?", "sgi free", 2, 0.85),
+    ("snia", "snia public licen[cs]e(?: 1 1)?", "snia", 2, 0.85),
+    ("spencer", "(?:henry )?spencer licen[cs]e(?: (?:86|94|99))?", "spencer", 2, 0.85),
+    ("tapr-ohl", "tapr open hardware licen[cs]e(?: v?1 0)?", "tapr", 2, 0.85),
+    ("vostrom", "vostrom public licen[cs]e", "vostrom", 2, 0.85),
+    ("vsl", "vovida public software licen[cs]e", "vovida public", 2, 0.85),
+    ("xpp", "xpp licen[cs]e", "xpp licen", 2, 0.85),
+    ("xskat", "xskat licen[cs]e", "xskat", 2, 0.85),
+]
+
 #: Creative Commons: the elements of a licence in their order, spelled out.
 ELEMENTS = {"nc": "non ?commercial", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s?(?: works)?"}
 CC_KINDS = [(), ("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd")]
@@ -173,7 +340,7 @@ def _version(version: str) -> str:
 def rules() -> list[Rule]:
     """All signatures, from the tables above."""
     out = [Rule(label, phrase, phrase, 3, 1.0, True) for phrase, label in BASE_PHRASES.items()]
-    out += [Rule(*x) for x in NOTICES]
+    out += [Rule(*x) for x in NOTICES + NAMED]
     for label, name, short, keyword, versions in FAMILIES:
         out.append(Rule(label, f"(?:the )?{name}", keyword, 1, 0.6))
         out.append(Rule(label, f"{NOTICE}{name}", keyword, 2, 0.8))
@@ -215,11 +382,13 @@ def matches(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame:
 
     ``docs`` holds row (a number per document) and norm (its words, a space before and behind each).
     """
-    table = F.array(*(
-        F.struct(F.lit(k).alias("rule"), *(F.lit(getattr(r, c)).alias(c) for c in ("label", "keyword", "priority", "weight", "base")), F.lit(f"(?<= ){r.regex}(?= )").alias("regex"))
-        for k, r in enumerate(found or rules())
-    ))
-    gated = docs.select("row", "norm", F.explode(F.filter(table, lambda r: F.contains(F.col("norm"), r["keyword"]))).alias("r"))
+    by_keyword: dict[str, list[Column]] = {}
+    for k, r in enumerate(found or rules()):
+        by_keyword.setdefault(r.keyword, []).append(F.struct(F.lit(k).alias("rule"), *(F.lit(getattr(r, c)).alias(c) for c in ("label", "priority", "weight", "base")), F.lit(f"(?<= ){r.regex}(?= )").alias("regex")))
+    # a keyword is looked for once, whatever the number of its rules
+    table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*own).alias("rules")) for k, own in by_keyword.items()))
+    shown = F.filter(table, lambda g: F.contains(F.col("norm"), g["keyword"]))
+    gated = docs.select("row", "norm", F.explode(F.flatten(F.transform(shown, lambda g: g["rules"]))).alias("r"))
     hits = gated.select("row", "r", F.expr("regexp_extract_all(norm, r.regex, 0)").alias("hit"), "norm").where(F.size("hit") > 0)
     # the words before a match: those in the parts before it, and in the matches before it
     parts = hits.select("row", "r", F.transform("hit", _spaces).alias("h"), F.transform(F.expr("split(norm, r.regex)"), _spaces).alias("p"))
