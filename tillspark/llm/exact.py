@@ -23,10 +23,13 @@ from .common import BROADCAST_IDS, fresh_path, staged
 
 #: The characters that make no difference, `[\\x20\\x09-\\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
-#: State on disk; without fallocate, which would reserve megabytes for each of many small stores.
+#: State on disk; without fallocate, which would reserve megabytes for each of many small stores, and with one
+#: bound on the memory of all stores of an executor, as each partition has its own.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 

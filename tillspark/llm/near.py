@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import released, staged
 from .components import connected_components
 from .hashing import mix, shingle_sets
 from .tokens import slices
@@ -108,7 +108,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_digests, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(released(_digests), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sig binary")
 
 
 def neighbours(key: np.ndarray, sig: np.ndarray, held: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -207,10 +207,10 @@ def candidates(reps: DataFrame) -> DataFrame:
     n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + reps.count() * TREES // PARTITION_ROWS)
     # by range, so that a dense region spreads over partitions
     ordered = rows.repartitionByRange(n, "key", "sig", "doc_id").sortWithinPartitions("key", "sig", "doc_id")
-    found = staged(ordered.mapInArrow(_pairs, _PAIRS), "neighbours")
+    found = staged(ordered.mapInArrow(released(_pairs), _PAIRS), "neighbours")
     # the rows about each border are compared once more, as regions of their own
     about = found.where("border IS NOT NULL").select(F.xxhash64("border", "key").alias("key"), "sig", "doc_id")
-    across = about.repartition(max(1, n // 16), "key").sortWithinPartitions("key", "sig", "doc_id").mapInArrow(_pairs, _PAIRS)
+    across = about.repartition(max(1, n // 16), "key").sortWithinPartitions("key", "sig", "doc_id").mapInArrow(released(_pairs), _PAIRS)
     return found.unionByName(across).where("a IS NOT NULL").select("a", "b").distinct()
 
 
@@ -398,7 +398,7 @@ def block_links(sets: DataFrame, roots: DataFrame, probes: DataFrame, block: int
     probing = rows.where(probe).select("cluster", one("_m").alias("i"), every("_n").alias("j"), F.lit(True).alias("probe"), *fields)
     place = ["cluster", "i", "j"]
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.unionByName(probing).repartition(n, *place).sortWithinPartitions(*place, "doc_id").mapInArrow(_block_links, "a long, b long")
+    return members.unionByName(probing).repartition(n, *place).sortWithinPartitions(*place, "doc_id").mapInArrow(released(_block_links), "a long, b long")
 
 
 def _pair_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,12 +461,12 @@ def confirmed(docs: DataFrame, clusters: DataFrame, pairs: DataFrame, limit: int
     members = clusters.select("doc_id", "cluster")
     if clusters.count() <= BROADCAST_IDS:
         members = F.broadcast(members)
-    sets = docs.select("doc_id", "text").join(members, "doc_id").select("cluster", "doc_id", "text").mapInArrow(_sets, "cluster long, doc_id long, shingles binary")
+    sets = docs.select("doc_id", "text").join(members, "doc_id").select("cluster", "doc_id", "text").mapInArrow(released(_sets), "cluster long, doc_id long, shingles binary")
     sets = staged(sets, "sets")
     large = clusters.where(F.col("_size") > limit).select("cluster").distinct()
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = sets.join(large, "cluster", "left_anti").repartition(n, "cluster").sortWithinPartitions("cluster", "doc_id")
-    out = small.mapInArrow(_confirm, "doc_id long, component long")
+    out = small.mapInArrow(released(_confirm), "doc_id long, component long")
     if large.isEmpty():
         return out
     rest = staged(sets.join(_few(large), "cluster", "left_semi").dropDuplicates(["doc_id"]), "large")

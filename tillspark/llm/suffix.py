@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, by_id, staged
+from .common import BROADCAST_IDS, by_id, released, staged
 from .hashing import flat, mix, powers, prefix_sums
 from .rindex import RunIndex, equal_prefixes, suffix_order
 from .tokens import slices
@@ -252,21 +252,21 @@ def repeats(docs: DataFrame, length: int = 100, group_contexts: int = GROUP_CONT
     """doc_id and spans (array of first, last in bytes, unmerged) of the documents with repeated strings."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    rows = docs.mapInArrow(partial(_anchor_rows, length), ROWS_DDL)
+    rows = docs.mapInArrow(released(partial(_anchor_rows, length)), ROWS_DDL)
     order = ["hash", "context", "digest", "doc_id", "first"]
     # what is known to be a repeat needn't meet anything: it is dealt out evenly
     place = F.when(F.col("repeat"), F.xxhash64("doc_id", "first")).otherwise(F.col("hash"))
-    found = staged(rows.repartition(n, place).sortWithinPartitions(*order).mapInArrow(_resolve, FOUND_DDL), "found")
+    found = staged(rows.repartition(n, place).sortWithinPartitions(*order).mapInArrow(released(_resolve), FOUND_DDL), "found")
     reps = found.where("NOT marked").drop("marked")
     ids = staged(reps.select("doc_id").distinct(), "ids")
     wanted = reps.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "first", "last")).alias("wanted"))
-    contexts = staged(by_id(docs, ids).join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contexts, "hash long, doc_id long, first long, bytes binary"), "contexts")
+    contexts = staged(by_id(docs, ids).join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(released(_contexts), "hash long, doc_id long, first long, bytes binary"), "contexts")
     hot = staged(reps.groupBy("hash").count().where(F.col("count") > group_contexts).select("hash", F.ceil(F.col("count") / group_contexts).alias("parts")), "hot")
     n_hot = hot.count()
     parts = F.coalesce("parts", F.lit(1).cast("long"))
     dealt = contexts.join(F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot, "hash", "left").select("hash", F.pmod(F.xxhash64("doc_id", "first"), parts).alias("part"), parts.alias("parts"), "doc_id", "first", "bytes")
     grouped = dealt.repartition(n, "hash", "part").sortWithinPartitions("hash", "part", "doc_id", "first")
-    marks = grouped.mapInArrow(partial(_mark_groups, length), MARKS_DDL)
+    marks = grouped.mapInArrow(released(partial(_mark_groups, length)), MARKS_DDL)
     columns = ["doc_id", "first", "last"]
     spans = found.where("marked").select(*columns)
     if n_hot:
@@ -318,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, group_contexts: int = GRO
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), carried.alias("carried"))
     ids = spans.select("doc_id")
     schema = T.StructType.fromDDL(CUT_DDL).add("carried", texts.schema["carried"].dataType)
-    cut = by_id(texts, ids).join(spans, "doc_id").select("doc_id", "text", "spans", "carried").mapInArrow(_cut, schema)
+    cut = by_id(texts, ids).join(spans, "doc_id").select("doc_id", "text", "spans", "carried").mapInArrow(released(_cut), schema)
     rest = by_id(texts, ids, "left_anti").select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),
