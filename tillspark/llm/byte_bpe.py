@@ -7,8 +7,8 @@ bytes as printable characters; decoding maps ids back to bytes, so that a charac
 tokens is whole again.
 
 Cases: a null or empty text has no ids and decodes to no bytes; ids outside the vocabulary raise; repeated
-rows are coded alike; null ids pass through; an empty table gives an empty result; other columns are
-ignored.
+rows are coded alike; null ids pass through; a text of any length is coded whole; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ later arrivals meet what is there.
 
 Cases: a null or empty text, or one of white space alone, is the empty text; of rows with equal texts, length
 and id the one that arrived first stays; null ids lose against others, and of null ids alone the first row
-stays (its keep_id is null); an empty table gives an empty result; other columns are ignored.
+stays (its keep_id is null); a text of any length is hashed and compared whole; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

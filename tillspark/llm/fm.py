@@ -9,7 +9,7 @@ It is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the smallest ha
 
 Cases: a null or empty text is scored by its (zero) statistics; null labels aren't learned from; with no
 labelled row every score is 0.5; a table without n_chars, or a null or unreadable one, states none; repeated
-rows are scored alike; an empty table gives an empty result; other columns are never read.
+rows are scored alike, and so are ties; a text of any length is scored whole; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ every ``CALIBRATION``-th of them in that order is left out of the models and set
 documents than that is always accepted).
 
 Cases: texts that are null or without a letter are `und` with score 0, as is every text when there is
-nothing to learn from; rows with a null language are never learned from; repeated rows are judged alike; an
-empty table gives an empty result; other columns are ignored.
+nothing to learn from; rows with a null language are never learned from; repeated rows are judged alike; of
+languages that fit equally well the first by name is given; all of a text of any length counts; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

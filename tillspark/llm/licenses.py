@@ -6,7 +6,8 @@ one that lies within another of the same or a higher priority is suppressed, as
 within "gnu general public license version 3".  The three base phrases are rules that are never suppressed.
 
 Cases: a null or empty text has no words and no labels; repeated rows are scanned alike; null ids are kept,
-each as a row of its own; an empty table gives an empty result; other columns are ignored.
+each as a row of its own; a text of any length is scanned whole, however many matches it has; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ those that are still few all together (1: every cell by itself).
 
 Cases: a null text has no words and fails the base rules; null language or source is a cell of its own, apart
 from the empty string; texts that fail the base rules don't enter the estimates; a cell whose statistics don't
-vary gets the variance floor; repeated rows are judged alike; other columns are ignored.
+vary gets the variance floor; repeated rows are judged alike; a text of any length is counted whole; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ smaller id, or further left in its own.  Matches stay within documents; all is j
    mark; of equal ones among these (one a part at most) all but the first are marked too.
 
 Cases: a null or empty text has no bytes and stays; rows that repeat an id are one document (equal places
-are no repeats of each other); rows with a null id are left as they are; an empty table gives an empty
-result; other columns are ignored.
+are no repeats of each other); rows with a null id are left as they are; a text of any length is taken
+whole, and a run of one byte in it is cut to its first; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
