@@ -15,7 +15,7 @@ from tillspark.sources.files import scan_lines
 from tillspark.sources.schemas import CLEANED
 from tillspark.streaming import jobs
 from tillspark.streaming.ends import end_marks, groups_at_end
-from tillspark.streaming.partials import BATCH, read_partials, write_partials
+from tillspark.streaming.partials import BATCH, compact, read_partials, write_partials
 from tillspark.streaming.state import state_session
 from tillspark.streaming.text import land, landed
 
@@ -73,6 +73,32 @@ def test_a_killed_and_repeated_batch_gives_the_same_totals(spark, tmp_path):
     assert len(found(jobs.semester_totals(spark, out))) == 4
 
 
+def test_compacted_partials(spark, tmp_path):
+    """Reads from a base and the batches behind it; files of the batches that it holds aren't opened."""
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    keys, base = ["semester", "store_id"], None
+    compact(spark, out, jobs.SEMESTERS, keys, str(tmp_path / "base-none"))
+    assert found(read_partials(spark, out, jobs.SEMESTERS, keys, base=str(tmp_path / "base-none"))) == []
+    for k, rows in enumerate(ROWS):
+        arrive(spark, folder, rows)
+        write_partials(semester_stores(stream(spark, folder)), out, checkpoint)
+        whole = found(read_partials(spark, out, jobs.SEMESTERS, keys))
+        assert found(read_partials(spark, out, jobs.SEMESTERS, keys, base=base)) == whole
+        compact(spark, out, jobs.SEMESTERS, keys, str(tmp_path / f"base-{k}"), base)
+        base = str(tmp_path / f"base-{k}")
+        assert found(read_partials(spark, out, jobs.SEMESTERS, keys, base=base)) == whole
+        if k == 1:
+            for file in (tmp_path / "out").glob("_batch=*/*.parquet"):
+                file.write_bytes(b"not a table")
+                (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+            assert found(read_partials(spark, out, jobs.SEMESTERS, keys, base=base)) == whole
+            break
+    arrive(spark, folder, ROWS[2])
+    write_partials(semester_stores(stream(spark, folder)), out, checkpoint)
+    every = spark.createDataFrame([r for rows in ROWS for r in rows], CLEANED["transactions"])
+    assert found(read_partials(spark, out, jobs.SEMESTERS, keys, base=base)) == found(semester_stores(every))
+
+
 def test_partials_before_anything_was_written(spark, tmp_path):
     assert found(jobs.semester_totals(spark, str(tmp_path / "none"))) == []
     assert jobs.semester_totals(spark, str(tmp_path / "none")).columns == ["semester", "store_id", "tpv"]

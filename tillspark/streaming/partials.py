@@ -35,19 +35,42 @@ def write_partials(groups: DataFrame, out: str, checkpoint: str, written: Callab
     stream.foreachBatch(keep).start().awaitTermination()
 
 
-def read_partials(spark: SparkSession, out: str, schema: StructType, keys: list[str], up_to: int | None = None) -> DataFrame:
-    """The merged groups, as of batch ``up_to`` (else of all); none where no batch has written any.
-
-    A filter on the keys reaches the files.
-    """
+def _rows(spark: SparkSession, out: str, schema: StructType, base: str | None) -> DataFrame:
+    """Groups with the number of the batch that they are of; of batches that ``base`` holds, from there alone."""
+    whole = StructType([*schema.fields, StructField(BATCH, LongType())])
     try:
-        rows = spark.read.schema(StructType([*schema.fields, StructField(BATCH, LongType())])).parquet(out)
+        rows = spark.read.schema(whole).parquet(out)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        rows = spark.createDataFrame([], whole)
+    if base is None:
+        return rows
+    held = spark.read.schema(whole).parquet(base)
+    last = held.agg(F.max(BATCH).alias("last")).first()["last"]
+    # a filter on the partitions, so that their files aren't opened
+    return held.unionByName(rows.where(F.col(BATCH) > (-1 if last is None else last)))
+
+
+def _last(rows: DataFrame, schema: StructType, keys: list[str]) -> DataFrame:
+    measures = [f.name for f in schema.fields if f.name not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*measures, BATCH), BATCH).alias("_last"))
+    return last.select(*(c if c in keys else F.col(f"_last.{c}").alias(c) for c in schema.names), F.col(f"_last.{BATCH}").alias(BATCH))
+
+
+def read_partials(spark: SparkSession, out: str, schema: StructType, keys: list[str], up_to: int | None = None, base: str | None = None) -> DataFrame:
+    """The merged groups, as of batch ``up_to`` (else of all); none where no batch has written any.
+
+    With ``base``, a table that ``compact`` wrote, only the batches behind it are read and merged with it, so
+    that a read doesn't grow with the number of batches; ``up_to`` must not lie before the base.  A filter on
+    the keys reaches the files.
+    """
+    rows = _rows(spark, out, schema, base)
     if up_to is not None:
         rows = rows.where(F.col(BATCH) <= up_to)
-    measures = [f.name for f in schema.fields if f.name not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*measures), BATCH).alias("_last"))
-    return last.select(*(c if c in keys else F.col(f"_last.{c}").alias(c) for c in schema.names))
+    return _last(rows, schema, keys).drop(BATCH)
+
+
+def compact(spark: SparkSession, out: str, schema: StructType, keys: list[str], to: str, base: str | None = None) -> None:
+    """Writes the merged groups of all batches so far to ``to``, a new base for reads; ``out`` stays as it is."""
+    _last(_rows(spark, out, schema, base), schema, keys).write.parquet(to)
