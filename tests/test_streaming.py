@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 
@@ -11,6 +12,8 @@ from tillspark.config import Params
 from tillspark.operators.aggregates import semester_stores
 from tillspark.operators.cleaners import clean
 from tillspark.operators.joins import last_wins
+from tillspark.plans import catalog
+from tillspark.shared import fresh_path
 from tillspark.sources.files import scan_lines
 from tillspark.sources.schemas import CLEANED
 from tillspark.streaming import jobs
@@ -162,3 +165,26 @@ def test_streamed_questions_over_arrivals(spark, tmp_path):
         arrive(spark, folder, rows)
         jobs.stream_store_users(stream(spark, folder), Params(k=1), out, checkpoint)
     assert found(jobs.buyers_birthdays(spark, out, stores, users, Params(k=1))) == [("North", "1990-01-02", 1), ("South", "u", 1)]
+
+
+@pytest.mark.parametrize(("name", "arrivals"), [("stream_partials_of_drops", 3), ("stream_client_totals", 4)])
+def test_a_drop_of_many_files_is_one_batch(spark, sf, monkeypatch, name, arrivals):
+    """Batches are as many as arrivals, and not as the files that these have."""
+    paths = {}
+
+    def noted(session, kind):
+        paths[kind] = fresh_path(session, kind)
+        return paths[kind]
+
+    monkeypatch.setattr(catalog, "fresh_path", noted)
+    many = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        got = catalog.queries()[name](spark, sf).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    commits = Path(paths["stream-checkpoint"].removeprefix("file:")) / "commits"
+    assert got > 0 and sorted(p.name for p in commits.iterdir() if not p.name.startswith(".")) == [str(k) for k in range(arrivals)]

@@ -485,12 +485,20 @@ def stream_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Arrivals: a table dealt into drops that come one after another.
-def _drops(df: DataFrame, drop: str, name: str, count: int) -> str:
-    """A folder with the rows of ``df`` by the number in column ``drop``, which a stream takes in that order."""
-    folder = fresh_path(df.sparkSession, name)
+def _arrivals(df: DataFrame, drop: str, name: str, count: int, take: Callable[[DataFrame], None]) -> None:
+    """Runs ``take`` on a stream with the rows of ``df`` each time that a drop, the number in column ``drop``, has come.
+
+    A drop is taken before the next one comes, and as one batch, whatever the number of its files: each batch opens
+    and commits all of the state, so that batches by the file would grow with the table.
+    """
+    spark = df.sparkSession
+    dealt, folder = fresh_path(spark, f"{name}-dealt"), fresh_path(spark, name)
+    df.write.partitionBy(drop).parquet(dealt)
+    rows = df.drop(drop)
+    stream = state_session(spark).readStream.schema(rows.schema).parquet
     for k in range(count):
-        df.where(F.col(drop) == k).drop(drop).write.mode("append").parquet(folder)
-    return folder
+        spark.read.schema(df.schema).parquet(dealt).where(F.col(drop) == k).select(rows.columns).write.mode("append").parquet(folder)
+        take(stream(folder))
 
 
 DROPS = 3
@@ -500,10 +508,12 @@ DROPS = 3
 def stream_partials_of_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in three arrivals: one partial table a batch, merged when it is read."""
     orders = adapters.order_transactions(spark, sf_dir).withColumn("_drop", F.pmod(F.hash("transaction_id"), F.lit(DROPS)))
-    folder = _drops(orders, "_drop", "drops", DROPS)
-    rows = state_session(spark).readStream.schema(orders.drop("_drop").schema).option("maxFilesPerTrigger", 1).parquet(folder)
     every = Params(from_year=1900, to_year=2099, from_hour=0, to_hour=23)
-    return jobs.semester_totals(spark, _partials(spark, lambda out, at: jobs.stream_semester_totals(rows, every, out, at)))
+
+    def run(out: str, at: str) -> None:
+        _arrivals(orders, "_drop", "drops", DROPS, lambda rows: jobs.stream_semester_totals(rows, every, out, at))
+
+    return jobs.semester_totals(spark, _partials(spark, run))
 
 
 @query(f"SELECT client_id, semester, store_id, CAST(tpv AS DOUBLE) AS tpv FROM (SELECT o_orderpriority AS client_id, {SEMESTER} AS semester, store_id, sum(CAST(final_amount AS DECIMAL(18,2))) AS tpv FROM ({ORDER_TX}) GROUP BY 1, 2, 3) WHERE client_id NOT LIKE '4%'")
@@ -513,9 +523,11 @@ def stream_client_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount = F.col("final_amount").cast("decimal(38,10)")
     rows = orders.select(F.col("o_orderpriority").alias("client_id"), semester(F.col("created_at")).alias("semester"), "store_id", amount.alias("tpv"), F.lit(False).alias("is_end"), F.pmod(F.hash("transaction_id"), F.lit(DROPS)).alias("_drop"))
     marks = end_marks(rows.where("client_id NOT LIKE '4%'").select("client_id").distinct(), rows.drop("_drop")).withColumn("_drop", F.lit(DROPS))
-    folder = _drops(rows.unionByName(marks), "_drop", "clients", DROPS + 1)
-    stream = state_session(spark).readStream.schema(rows.drop("_drop").schema).option("maxFilesPerTrigger", 8).parquet(folder)
-    return _streamed(spark, lambda out, at: jobs.stream_client_totals(stream, out, at)).withColumn("tpv", F.col("tpv").cast("double"))
+
+    def run(out: str, at: str) -> None:
+        _arrivals(rows.unionByName(marks), "_drop", "clients", DROPS + 1, lambda stream: jobs.stream_client_totals(stream, out, at))
+
+    return _streamed(spark, run).withColumn("tpv", F.col("tpv").cast("double"))
 
 
 def _text_files(lines: DataFrame, part: str, header: str, folder: str) -> str:
