@@ -125,6 +125,25 @@ def test_one_pass_without_a_shuffle(spark, sf, tmp_path):
     assert "Exchange" not in sent._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_message_is_walked_once(spark):
+    """Routing takes the head of a message in one go, and doesn't describe a payload to see that it is an object."""
+    plan = messages.parts(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 1
+    assert "schema_of_variant" not in plan and "SchemaOfVariant" not in plan
+    assert all(f"$.{field}" not in plan for field in ("type", "client", "end", "payload"))
+
+
+def test_odd_messages_keep_their_parts(spark, tmp_path):
+    """What counts as filled or ended, and the texts that odd heads have."""
+    good = ['{"type":"menu","client":"c","payload":{}}', '{"type":"menu","client":7,"payload":{"item_id":1,"item_name":[2]},"end":null}', '{"type":"menu","client":{"a":1},"payload":{"item_id":"x","more":{"b":[1]}},"end":"x"}']
+    ends = ['{"type":"store","client":"c","end":true}', '{"type":"users","client":"d","end":"true","payload":[1]}']
+    odd = ['{"type":"menu","payload":"{}"}', '{"type":"menu","payload":[{}]}', '{"type":"menu","payload":null}', '{"type":1,"payload":{}}', '{"type":["menu"],"payload":{}}', '{"payload":{"type":"menu"}}', '[{"type":"menu","payload":{}}]', '"menu"', '{"type":"menu","payload":{}']
+    messages.route(spark.createDataFrame([(v,) for v in [*good, *ends, *odd]], "value string"), str(tmp_path / "m"))
+    assert found(messages.routed(spark, str(tmp_path / "m"), "menu")) == sorted(map(str, [("c", None, None), ("7", "1", "[2]"), ('{"a":1}', "x", None)]))
+    assert found(messages.ended(spark, str(tmp_path / "m"))) == sorted(map(str, [("c", "store"), ("d", "users")]))
+    assert found(messages.unknown(spark, str(tmp_path / "m"))) == sorted(str((v,)) for v in odd)
+
+
 # One file a result.
 def test_result_file(spark, tmp_path):
     path = tmp_path / "results_q1.txt"

@@ -37,20 +37,24 @@ def end_of(spark: SparkSession, tables: list[str], client: str) -> DataFrame:
     return rows.select(F.to_json(F.struct("type", "client", F.lit(True).alias("end"))).alias("value"))
 
 
+def parts(messages: DataFrame) -> DataFrame:
+    """type (the part), client, end, payload and, of what is unknown, value; a message's variant is walked once."""
+    parsed = messages.select("value", F.try_parse_json("value").alias("v"))
+    heads = parsed.select("value", F.try_variant_get("v", "$", "struct<type: string, client: string, end: boolean, payload: variant>").alias("head"))
+    kind, end, payload = F.col("head.type"), F.coalesce("head.end", F.lit(False)), F.col("head.payload")
+    # an object gives a struct without fields, whatever it holds; anything else gives null
+    is_object = F.try_variant_get(payload, "$", "struct<>").isNotNull()
+    table = F.when(kind.isin(*CLEANED) & (end | is_object), kind).otherwise(UNKNOWN)
+    rows = heads.select(table.alias("type"), F.col("head.client").alias("client"), end.alias("end"), payload.alias("payload"), "value")
+    return rows.select("type", "client", "end", "payload", F.when(F.col("type") == UNKNOWN, F.col("value")).alias("value"))
+
+
 def route(messages: DataFrame, path: str) -> None:
     """Writes ``messages`` (value) to a part for each table, in one pass without a shuffle.
 
     What isn't JSON, has no known type or isn't ended or filled goes to the part ``unknown`` as it is.
     """
-    parsed = messages.select("value", F.try_parse_json("value").alias("v"))
-    kind = F.try_variant_get("v", "$.type", "string")
-    end = F.coalesce(F.try_variant_get("v", "$.end", "boolean"), F.lit(False))
-    payload = F.try_variant_get("v", "$.payload", "variant")
-    known = kind.isin(*CLEANED) & (end | F.coalesce(F.startswith(F.schema_of_variant(payload), F.lit("OBJECT")), F.lit(False)))
-    table = F.when(known, kind).otherwise(UNKNOWN)
-    rows = parsed.select(table.alias("type"), F.try_variant_get("v", "$.client", "string").alias("client"), end.alias("end"), payload.alias("payload"), "value")
-    kept = rows.select("type", "client", "end", "payload", F.when(F.col("type") == UNKNOWN, F.col("value")).alias("value"))
-    kept.write.mode("overwrite").partitionBy("type").parquet(path)
+    parts(messages).write.mode("overwrite").partitionBy("type").parquet(path)
 
 
 def _part(spark: SparkSession, path: str, table: str) -> DataFrame:
